@@ -62,18 +62,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL),
-grams AS (
+grams AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS g FROM words),
-sized AS (SELECT doc_id, len(g) AS n FROM grams),
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM words),
+sized AS MATERIALIZED (SELECT doc_id, len(g) AS n FROM grams),
 flat AS (SELECT doc_id, unnest(g) AS s FROM grams),
 pairs AS (
-  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (
-  SELECT x, y FROM pairs JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * both >= 80 * (p.n + q.n - both)),
-edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT x, y FROM pairs JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION SELECT y, x FROM links),
 reach AS (
   SELECT doc_id AS node, doc_id AS at FROM documents WHERE doc_id IS NOT NULL
   UNION SELECT reach.node, edges.y FROM reach JOIN edges ON edges.x = reach.at)
