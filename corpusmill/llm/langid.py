@@ -177,6 +177,7 @@ def train(docs: DataFrame, usable: Column, vocabulary: str = VOCABULARY, docs_pe
     floors = [0.0] * len(langs)
     for lang, piece, p in rows[rows["piece"] == ""].itertuples(index=False):
         floors[at[lang]] = p
+    floors = [min(floors)] * len(langs)  # alike for all, so that little training text is no advantage
     table: dict[str, list[float]] = {}
     for lang, piece, p in rows[rows["piece"] != ""].itertuples(index=False):
         table.setdefault(piece, list(floors))[at[lang]] = p
