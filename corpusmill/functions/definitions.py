@@ -38,6 +38,8 @@ class Definition:
     name_at: int = -1
     params: tuple[int, int] | None = None  # opening and closing bracket
     value: bool = False  # a JavaScript arrow
+    constructor: bool = False  # a Java constructor
+    source_last: int = -1  # where its source ends, if not at last
     marks: list[str] = field(default_factory=list)  # decorators or annotations
     alone: bool = False  # its syntax node has no comment sibling before it
     qualifier: str | None = None
@@ -173,8 +175,8 @@ def _java(src: Source) -> Iterator[Definition]:
                 marks, head, last, plain = found
                 d = Definition("function", t.text, parent, start, last, head, start, i, (i + 1, src.partner[i + 1]), marks=marks)
                 yield d
+                d.constructor = plain
                 if into is not None:
-                    d.value = plain  # a constructor
                     into.append(d)
                 i = start = last + 1
             else:
@@ -342,7 +344,7 @@ def _js(src: Source) -> Iterator[Definition]:
                 first, sign, params = arrow
                 last = stop - 1 if stop < hi else hi - 1 - (text(hi - 1) == ";")
                 name = text(at) if tokens[at].kind == "name" else UNKNOWN
-                yield Definition("function", name, parent, first, last, sign + 1, lo, at, (params, src.partner.get(params, params)), value=True)
+                yield Definition("function", name, parent, first, last, sign + 1, lo, at, (params, src.partner.get(params, params)), value=True, source_last=hi - 1)
             at = stop + 1
 
     yield from walk(0, n, None, None, 1)
@@ -541,15 +543,6 @@ def clean_indentation(snippet: str) -> str:
     return "\n".join([first, *(x[cut:] if len(x) >= cut else x for x in rest)]) if cut > 0 else snippet
 
 
-def header(src: Source, d: Definition) -> str:
-    """What stands before the body."""
-    last = d.head - 1
-    if src.language == "C++" and src.tokens[d.head].text == "=":
-        last = d.last
-    text = src.slice(d.first, min(last, d.last))
-    return re.sub(r"\s+", " ", text).strip() if src.language != "Python" else text
-
-
 def python_stub(src: Source, d: Definition) -> str:
     """The def line, rebuilt."""
     tokens = src.tokens
