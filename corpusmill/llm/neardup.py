@@ -3,10 +3,11 @@
 1. Every text's distinct word shingles give MinHash bands and an odd sketch: the
    MinHash samples folded into a parity bitmap. Equal sets form a class; one of
    each goes on.
-2. Members of a band bucket are compared by the population count of the XOR of
-   their sketches, which estimates the similarity; a bucket gives a spanning
-   forest of the pairs that may reach the threshold, so its links are at most
-   its members. Buckets stream, and one over BLOCK members is met block by block.
+2. Band keys alone travel first; sketches join those of buckets with several
+   members. Members are compared by the population count of the XOR of their
+   sketches, which estimates the similarity; a bucket gives a spanning forest of
+   the pairs that may reach the threshold, so its links are at most its members.
+   Buckets stream, and one over BLOCK members is met block by block.
 3. Connected components of these links are families, a superset of the true
    components. Within a family the texts' full sets confirm links; pairs already
    joined are skipped, so copies cost one comparison each. A family over BLOCK
@@ -168,6 +169,25 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 
 
+def shared_bands(banded: DataFrame) -> DataFrame:
+    """The (band, id) rows of buckets with more than one row; most texts share none, so that few sketches travel on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, given = None, False  # the row before this batch, and whether it was given out
+        for batch in batches:
+            band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(band):
+                continue
+            as_before = np.r_[last is not None and band[0] == last[0], band[1:] == band[:-1]]
+            keep = as_before.copy()
+            keep[:-1] |= as_before[1:]
+            late = [last] if as_before[0] and not given else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[[x[k] for x in late], v[keep]].astype(np.int64)) for k, v in enumerate((band, ids))], names=["band", "id"])
+            last, given = (band[-1], ids[-1]), bool(keep[-1])
+
+    return banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "band long, id long")
+
+
 def bucket_links(banded: DataFrame) -> DataFrame:
     """a, b: sketch-level links within band buckets; banded has band, id, sketch."""
     names, types = ["a", "b"], [pa.int64(), pa.int64()]
@@ -268,9 +288,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row with a doc_id."""
     signed = materialise(sign(docs, size), "dup-signed")
     classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    firsts = classes.select(F.col("first").alias("doc_id"))
-    one = signed.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"), "sketch").select("band", "id", "sketch")
+    # Equal sets have equal bands and sketches; of an id with several texts, the least sketch stands for it.
+    members = signed.filter("n_shingles > 0").groupBy("set_key")
+    banded = members.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "id")
+    sketches = members.agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).groupBy("id").agg(F.min("sketch").alias("sketch"))
+    banded = shared_bands(banded).join(sketches, "id").select("band", "id", "sketch")
     families = materialise(components(bucket_links(banded)), "dup-families")
 
     def member_sets(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
