@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\x0B\f\r]"
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[^ \t\n\x0B\f\r\p{L}\p{N}_]"
-LITERALS = (r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", r'"(?:[^"\\]|\\.)*"', r"'(?:[^'\\]|\\.)*'")
-COMMENT_OR_STRING = r'/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*|"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+_DOUBLE, _SINGLE = r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', r"'[^'\\]*(?:\\[^\n][^'\\]*)*'"
+LITERALS = (r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", _DOUBLE, _SINGLE)
+COMMENT_OR_STRING = "|".join([*LITERALS, r"//[^\n]*", r"/\*[\s\S]*?\*/", r"#[^\n]*"])
 
 
 def code_tokens(text: Column) -> Column:

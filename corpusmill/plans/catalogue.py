@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import metrics, text
-from corpusmill.operators import allocation, dedup, discovery, evaluation, quality
+from corpusmill.operators import allocation, cleaning, dedup, discovery, evaluation, extraction, manifests, quality, scoring, testsuite
+from corpusmill.sources import files
+from corpusmill.streaming import paging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -331,7 +333,7 @@ _IMPORTS = (("import the", ["the"]), ("import of", ["of"]), ("from a import b",
 
 @query(
     "used_imports",
-    r"""WITH s AS (SELECT doc_id, regexp_replace(text, '/\*[\s\S]*?\*/|//[^\n]*|#[^\n]*|"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''', ' ', 'g') AS c FROM documents),
+    f"""WITH s AS (SELECT doc_id, regexp_replace(text, {_quoted(text.COMMENT_OR_STRING)}, ' ', 'g') AS c FROM documents),
     u AS (SELECT doc_id, list_filter([CASE WHEN regexp_matches(c, '(^|[^A-Za-z0-9_.])the($|[^A-Za-z0-9_])') THEN 'import the' END, CASE WHEN regexp_matches(c, '(^|[^A-Za-z0-9_.])of($|[^A-Za-z0-9_])') THEN 'import of' END, CASE WHEN regexp_matches(c, '(^|[^A-Za-z0-9_.])(la|der)($|[^A-Za-z0-9_])') THEN 'from a import b' END, 'import all'], lambda x: x IS NOT NULL) AS used FROM s)
     SELECT doc_id, array_to_string(used, ';') AS used FROM u""",
 )
@@ -672,3 +674,109 @@ def epoch_and_retry_after(t: _Reader) -> DataFrame:
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")
 def json_props(t: _Reader) -> DataFrame:
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+
+
+# ---------------------------------------------------------------- source trees
+
+
+def _tree(t: _Reader, path: str, body: str) -> DataFrame:
+    """A source file for each document; path and body are SQL over doc_id and source."""
+    return t("documents").filter("source IS NOT NULL").select(F.col("source").alias("repo"), F.expr(path).alias("path"), F.expr(body).cast("binary").alias("content"))
+
+
+_FOLDER = "CASE doc_id % 5 WHEN 0 THEN 'tests/' WHEN 1 THEN 'vendor/' ELSE 'src/pkg/' END"
+_SOURCES = {
+    "Python": ("py", r"concat('import os\n\n@cache\ndef f', doc_id, '(a, b=1):\n    if a and b:\n        return os.path\n    return [x for x in a]\n\nclass C', doc_id, '(Base):\n    def m(self): pass\n')", ("import os", "a,b=1", "Base", 4)),
+    "Java": ("java", r"concat('import java.util.List;\nclass C', doc_id, ' extends Base {\n    List f', doc_id, '(int a, int b) { for (int i = 0; i < a; i++) { if (a > i && b > i) { } } return null; }\n    void m() { }\n}\n')", ("import java.util.List;", "a,b", "Base", 4)),
+    "JavaScript": ("js", r"concat('import os from \"os\";\nconst f', doc_id, ' = (a, b) => { while (a) { a = b ? os.x : 1; } };\nclass C', doc_id, ' extends Base {\n  m() { }\n}\n')", ("import os from \"os\";", "a,b", "Base", 3)),
+    "C++": ("cpp", r"concat('#include <os>\nint f', doc_id, '(int a, int b) { switch (a) { case 1: case 2: return os; default: return a || b; } }\nclass C', doc_id, ' : public Base { public: void m() { } };\n')", ("#include <os>\n", "a,b", "Base", 4)),
+}
+
+
+def _definition_query(language: str, name: str) -> None:
+    ending, body, (stmt, params, base, complexity) = _SOURCES[language]
+    path = f"concat({_FOLDER}, 'n', doc_id, '.{ending}')"
+    sql = f"""WITH d AS (SELECT source AS repo, {path} AS file_path, doc_id FROM documents WHERE source IS NOT NULL AND doc_id % 5 > 1)
+    SELECT repo, file_path, 'function' AS kind, 'f' || doc_id AS name, '{params}' AS parts, {_quoted(stmt)} AS imports, {complexity} AS complexity FROM d
+    UNION ALL SELECT repo, file_path, 'class', 'C' || doc_id, '{base}', {_quoted(stmt) if language == "Java" else "''"}, {complexity if language == "Java" else 1} FROM d
+    UNION ALL SELECT repo, file_path, 'function', 'm', '{'self' if language == "Python" else ''}', '', 1 FROM d"""
+
+    @query(name, sql)
+    def walk(t: _Reader) -> DataFrame:
+        rows = extraction.definitions(_tree(t, path, body), language)
+        parts = F.array_join(F.when(F.col("kind") == "function", F.col("parameters")).otherwise(F.col("parent_classes")), ",")
+        return rows.select("repo", "file_path", "kind", "name", parts.alias("parts"), F.array_join("used_imports", ";").alias("imports"), F.col("cyclomatic_complexity").alias("complexity"))
+
+
+for _language, _name in (("Python", "definitions_python"), ("Java", "definitions_java"), ("JavaScript", "definitions_javascript"), ("C++", "definitions_cpp")):
+    _definition_query(_language, _name)
+
+
+@query("content_counts", "SELECT source AS repo, 2 * count(*) FILTER (WHERE doc_id % 5 > 1) AS functions, count(*) FILTER (WHERE doc_id % 5 > 1) AS classes FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def content_counts(t: _Reader) -> DataFrame:
+    ending, body, _ = _SOURCES["Python"]
+    return extraction.content_counts(_tree(t, f"concat({_FOLDER}, 'n', doc_id, '.{ending}')", body), "Python")
+
+
+@query("skipped_files", "SELECT source AS repo, count(*) FILTER (WHERE doc_id % 5 = 1) AS skipped_files FROM documents WHERE source IS NOT NULL GROUP BY 1")
+def skipped_files(t: _Reader) -> DataFrame:
+    return files.skipped_counts(_tree(t, f"concat({_FOLDER}, 'n', doc_id, '.py')", "''"), "Python")
+
+
+_FILE_NAMES = "CASE doc_id % 9 WHEN 0 THEN 'test_a.js' WHEN 1 THEN 'TestB.js' WHEN 2 THEN 'c.min.js' WHEN 3 THEN 'd.spec.js' WHEN 4 THEN 'e.jsx' WHEN 5 THEN 'f.ts' WHEN 6 THEN 'dist/g.js' WHEN 7 THEN 'Dist/h.js' ELSE 'i.js' END"
+
+
+@query("eligible_files", f"SELECT doc_id, {_FILE_NAMES} AS path FROM documents WHERE doc_id % 9 IN (4, 7, 8)")
+def eligible_files(t: _Reader) -> DataFrame:
+    return t("documents").select("doc_id", F.expr(_FILE_NAMES).alias("path")).filter(files.eligible(F.col("path"), "JavaScript"))
+
+
+_MANIFESTS = {
+    "Python": ("requirements.txt", r"concat('# c\nlib', doc_id, '[x]>=', doc_id % 7, '.0 # why\n-r b\nplain\n')", "('lib' || doc_id, '>=' || doc_id % 7 || '.0', 'main'), ('plain', NULL, 'main')"),
+    "JavaScript": ("package.json", r"""concat('{"dependencies": {"lib', doc_id, '": "^', doc_id % 7, '"}, "devDependencies": {"plain": "*"}}')""", "('lib' || doc_id, '^' || doc_id % 7, 'main'), ('plain', '*', 'dev')"),
+    "Java": ("pom.xml", r"concat('<dependency><groupId>g</groupId><artifactId>lib', doc_id, '</artifactId><version>', doc_id % 7, '</version></dependency><dependency><groupId>p</groupId><artifactId>q</artifactId><scope>test</scope></dependency>')", "('g:lib' || doc_id, CAST(doc_id % 7 AS VARCHAR), 'main'), ('p:q', NULL, 'dev')"),
+    "C++": ("conanfile.txt", r"concat('[requires]\nlib', doc_id, '/', doc_id % 7, '\n[options]\nno/1\n')", "('lib' || doc_id, CAST(doc_id % 7 AS VARCHAR), 'main')"),
+}
+
+
+def _manifest_query(language: str, name: str) -> None:
+    path, body, values = _MANIFESTS[language]
+
+    @query(name, f"SELECT 'r' || d.doc_id AS repo, v.name, v.version, v.kind FROM documents d, LATERAL (VALUES {values}) v(name, version, kind)")
+    def depend(t: _Reader) -> DataFrame:
+        tree = t("documents").select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("repo"), F.lit(path).alias("path"), F.expr(body).cast("binary").alias("content"))
+        return manifests.dependencies(tree, language).select("repo", "name", "version", "kind")
+
+
+for _language, _name in (("Python", "dependencies_python"), ("JavaScript", "dependencies_javascript"), ("Java", "dependencies_java"), ("C++", "dependencies_cpp")):
+    _manifest_query(_language, _name)
+
+
+@query(
+    "test_suite",
+    """SELECT 'r' || doc_id AS repo, doc_id % 2 + (doc_id % 2) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END >= 2 AS test_suite_present,
+    CASE WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 THEN 'high' WHEN doc_id % 2 = 1 THEN 'medium' WHEN doc_id % 3 = 0 THEN 'low' ELSE 'none' END AS confidence, CAST(doc_id % 2 AS INTEGER) AS test_file_count FROM documents""",
+)
+def test_suite(t: _Reader) -> DataFrame:
+    repo = F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("repo")
+    tests = t("documents").select(repo, F.expr("CASE WHEN doc_id % 2 = 1 THEN 'pkg/tests/test_a.py' ELSE 'tests/data.py' END").alias("path"), F.lit("").cast("binary").alias("content"))
+    ci = t("documents").select(repo, F.lit(".github/workflows/ci.yml").alias("path"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'run: PyTest' ELSE 'run: make' END").cast("binary").alias("content"))
+    return testsuite.detect(tests.unionByName(ci), "Python").select("repo", "test_suite_present", "confidence", "test_file_count")
+
+
+@query("clean_generated", "SELECT doc_id, 'def f' || doc_id || '():' || chr(10) || '    return 1' AS code FROM documents")
+def clean_generated(t: _Reader) -> DataFrame:
+    raw = F.expr(r"concat('Sure:\n```python\nimport os\n\ndef f', doc_id, '():\n    return 1\n\nprint(1)\n```')")
+    return t("documents").select("doc_id", cleaning.cleaned(raw, "Python", "function").alias("code"))
+
+
+@query("batch_scores", "SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^ \t\n\x0B\f\r]') THEN NULL ELSE least(length(text) + 2, 512) / 1000.0 END AS llm_score, CASE WHEN NOT regexp_matches(coalesce(text, ''), '[^ \t\n\x0B\f\r]') THEN NULL ELSE length(text) + 2 > 512 END AS llm_score_truncated FROM documents")
+def batch_scores(t: _Reader) -> DataFrame:
+    """A stand-in scorer: the share of 1000 ids that a text of one id a sign fills."""
+    make = lambda: (lambda text: [0, *text, 2], lambda batch: [len(ids) / 1000 for ids in batch])
+    return scoring.score_rows(t("documents").select("doc_id", "text"), "text", make).select("doc_id", "llm_score", "llm_score_truncated")
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(t: _Reader) -> DataFrame:
+    return paging.arrivals(t("events"))
