@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import materialise
-
 NEIGHBOURS = 20
 CURVES = 6
 REACH = 0.15
@@ -43,6 +42,8 @@ SEGMENTS = 8
 SALT_BITS = 12
 SEED = 29
 SMALL = 2000
+#: Rows of the result in each of its partitions at most, about.
+OUT_ROWS = 500_000
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -128,8 +129,8 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
     same = Window.partitionBy(F.xxhash64("embedding"), F.hash("embedding")).orderBy("vec_id")
     rows = rows.withColumn("copy", F.row_number().over(same))
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    rows = materialise(rows.select("vec_id", "embedding", (F.col("copy") <= neighbours + 1).alias("indexed"), is_query.alias("query")).filter("indexed or query"), "ann-rows")
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    rows = rows.select("vec_id", "embedding", (F.col("copy") <= neighbours + 1).alias("indexed"), is_query.alias("query")).filter("indexed or query").persist(StorageLevel.DISK_ONLY)  # a lost block is computed again
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.count_if("query").alias("q")).first()
     n, norm_most = facts["n"], math.sqrt(facts["m"] or 1.0)
     segments = max(SEGMENTS, math.ceil(n / 400_000))
     cells = segments * (CELLS // SEGMENTS)
@@ -152,7 +153,7 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
                         m = int(mask.sum())
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c, np.int32)), pa.array(np.full(m, role)), pa.array(key), pa.array(ids[mask]), flat.filter(pa.array(mask))], names=["curve", "role", "key", "vec_id", "embedding"])
 
-    points = materialise(rows.mapInArrow(keyed, "curve int, role boolean, key long, vec_id long, embedding array<double>"), "ann-keys")
+    points = rows.mapInArrow(keyed, "curve int, role boolean, key long, vec_id long, embedding array<double>").persist(StorageLevel.DISK_ONLY)
     found = {r["curve"]: r["b"] for r in points.filter(~F.col("role")).groupBy("curve").agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 5000).alias("b")).collect()}
     bounds = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in found.get(c, [])]).cast("array<long>") for c in range(curves)]), F.col("curve") + 1)
     points = points.withColumn("cell", F.size(F.filter(bounds, lambda b: b < F.col("key"))))
@@ -195,4 +196,4 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
     pairs = points.select("curve", "segment", "role", "vec_id", "cell", "embedding").mapInArrow(answer, "query_id long, vec_id long, score double")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").coalesce(max(SEGMENTS, facts["q"] * neighbours // OUT_ROWS))
