@@ -56,8 +56,7 @@ class Counter:
 
     def __init__(self) -> None:
         self.rows: dict[str, int] = {}
-        self.of: list[tuple[int, int]] = []
-        self.table = np.zeros((0, 2), np.int64)
+        self.table = np.zeros((1 << 12, 2), np.int64)
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = (text or "").split()
@@ -67,11 +66,13 @@ class Counter:
             at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         except KeyError:
             if len(self.rows) > _CACHE:
-                self.rows, self.of = {}, []
-            for w in set(words).difference(self.rows):
-                self.rows[w] = len(self.of)
-                self.of.append((_hash(w.lower().strip(".,;:!?")) % WORDS, WORDS + _hash(shape(w)) % SHAPES))
-            self.table = np.array(self.of, np.int64)
+                self.rows = {}
+            new = set(words).difference(self.rows)
+            while len(self.rows) + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            for w in new:
+                k = self.rows[w] = len(self.rows)
+                self.table[k] = _hash(w.lower().strip(".,;:!?")) % WORDS, WORDS + _hash(shape(w)) % SHAPES
             at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         n = len(at)
         counts = np.bincount(self.table[at].ravel(), minlength=FEATURES)
