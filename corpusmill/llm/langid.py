@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,8 @@ EVIDENCE = 10
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 400_000
+#: Numbers that a forward pass holds at most; code points of texts that are scored together.
+_CELLS, RUN = 1 << 22, 2_000_000
 
 
 def vocabulary_pieces(vocabulary: str = VOCABULARY) -> list[str]:
@@ -58,7 +60,7 @@ def vocabulary_pieces(vocabulary: str = VOCABULARY) -> list[str]:
 def words(text: str) -> list[str]:
     """Lower-cased runs of letters, long ones in parts."""
     found = _LETTERS.findall(text.lower())
-    if any(len(w) > WORD for w in found):
+    if found and max(map(len, found)) > WORD:
         found = [w[i : i + WORD] for w in found for i in range(0, len(w), WORD)]
     return found
 
@@ -113,38 +115,117 @@ class Model:
 
 
 class Scorer:
-    """A worker's scorer with its word cache."""
+    """A worker's scorer with its word cache; words that are new in a run of texts go through the forward algorithm together."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.unknown = np.array(model.floors)
-        self.table = {k: np.array(v) for k, v in model.table.items()}
+        nodes, self.piece = {"": 0}, [-1]  # a tree of the pieces; a node's piece, or -1
+        edges: dict[int, int] = {}
+        for row, p in enumerate(model.table):
+            for k in range(1, len(p) + 1):
+                if p[:k] not in nodes:
+                    edges[nodes[p[: k - 1]] << 21 | ord(p[k - 1])] = nodes[p[:k]] = len(nodes)
+                    self.piece.append(-1)
+            self.piece[nodes[p]] = row
+        self.piece = np.array(self.piece)
+        self.edges = np.array(sorted(edges), np.int64)
+        self.targets = np.array([edges[e] for e in self.edges.tolist()], np.int64)
+        self.odds = np.array([*model.table.values(), model.floors], np.float64).reshape(len(model.table) + 1, len(model.floors))
         self._reset()
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
-        self.logs = np.zeros((1 << 12, len(self.unknown)))
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        found = words(text) if text and self.model.langs else []
+        self.logs = np.zeros((1 << 12, len(self.model.floors)))
+
+    def forward(self, found: list[str]) -> np.ndarray:
+        """Per word and language, the probability summed over all segmentations: position by position, all words at once."""
+        rest, longest = len(self.odds) - 1, min(self.model.longest, WORD + 1)
+        lengths = np.array([len(w) + 1 for w in found])
+        signs = np.frombuffer("".join(["▁" + w for w in found]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(found)), lengths)
+        at = np.arange(len(signs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # place within the word
+        left = lengths[word] - at
+        live, node = np.arange(len(signs)), np.zeros(len(signs), np.int64)
+        owner, codes, pieces = [], [], []
+        for d in range(1, longest + 1):  # substrings of d signs, as long as they begin a piece
+            more = left[live] >= d
+            live, node = live[more], node[more]
+            key = node << 21 | signs[live + d - 1]
+            k = np.minimum(np.searchsorted(self.edges, key), max(len(self.edges) - 1, 0))
+            hit = self.edges[k] == key if len(self.edges) else np.zeros(len(key), bool)
+            if d == 1:  # a sign that is no piece has the rest's probability
+                p = np.where(hit, self.piece[self.targets[k]] if len(self.edges) else -1, -1)
+                owner.append(word)
+                codes.append((at + 1) * (longest + 1) + 1)
+                pieces.append(np.where(p < 0, rest, p))
+                live, node = live[hit], self.targets[k[hit]]
+                continue
+            live, node = live[hit], self.targets[k[hit]]
+            p = self.piece[node]
+            whole = p >= 0
+            owner.append(word[live[whole]])
+            codes.append((at[live[whole]] + d) * (longest + 1) + d)
+            pieces.append(p[whole])
+            if not len(live):
+                break
+        at, code, piece = np.concatenate(owner), np.concatenate(codes), np.concatenate(pieces)
+        order = np.argsort(code.astype(np.int16), kind="stable")  # at most (WORD + 1) x (WORD + 2)
+        at, code, piece = at[order], code[order], piece[order]
+        alpha = np.zeros((int(lengths.max()) + 1, len(found), self.odds.shape[1]))
+        alpha[0] = 1
+        cuts = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # a word has one edge of a length that ends at a position
+            i, d = divmod(int(code[lo]), longest + 1)
+            alpha[i, at[lo:hi]] += alpha[i - d, at[lo:hi]] * self.odds[piece[lo:hi]]
+        return alpha[lengths, np.arange(len(found))]
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.rows) > _CACHE:
+            self._reset()
+        while len(self.rows) + len(new) > len(self.logs):
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+        order, most = list(new), max(64, _CELLS // ((WORD + 2) * self.odds.shape[1]))
+        for k in range(0, len(order), most):
+            part = order[k : k + most]
+            self.logs[len(self.rows) : len(self.rows) + len(part)] = np.log(np.maximum(self.forward(part), 1e-300))
+            self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
+
+    def _score(self, found: list[str]) -> tuple[str, float]:
         if not found:
             return UNKNOWN, 0.0
-        try:
-            at = np.fromiter(map(self.rows.__getitem__, found), np.int64, len(found))
-        except KeyError:
-            if len(self.rows) > _CACHE:
-                self._reset()
-            for w in set(found).difference(self.rows):
-                k = self.rows[w] = len(self.rows)
-                if k == len(self.logs):
-                    self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-                self.logs[k] = np.log(np.maximum(forward(w, self.table, self.unknown, self.model.longest), 1e-300))
-            at = np.fromiter(map(self.rows.__getitem__, found), np.int64, len(found))
-        logs = self.logs[at].sum(0)
+        logs = self.logs[np.fromiter(map(self.rows.__getitem__, found), np.int64, len(found))].sum(0)
         best = int(np.argmax(logs))
         tempered = np.exp((logs - logs[best]) * min(1.0, EVIDENCE / len(found)))
         return self.model.langs[best], float(1.0 / tempered.sum())
 
+    def many(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """Prediction and score of each text, in runs of about RUN code points."""
+        out: list[tuple[str, float]] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def done() -> None:
+            new = set().union(*held).difference(self.rows)
+            if len(self.rows) > _CACHE:
+                new = set().union(*held)
+            if new:
+                self._learn(new)
+            out.extend(map(self._score, held))
+            held.clear()
+
+        for t in texts:
+            held.append(words(t) if t and self.model.langs else [])
+            size += len(t or "")
+            if size >= RUN:
+                done()
+                size = 0
+        if held:
+            done()
+        return out
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.many([text])[0]
+
 
 def train(docs: DataFrame, usable: Column, vocabulary: str = VOCABULARY, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> Model:
     """Fit on rows where usable holds and lang is not null: at most about docs_per_lang whole documents a language, by hash."""
@@ -199,7 +280,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             _scorers[id(m)] = m.scorer()
         score = _scorers[id(m)]
         for batch in batches:
-            found = [score(t.as_py()) for t in batch.column("text")]
+            found = score.many(t.as_py() for t in batch.column("text"))
             out = dict(zip(batch.schema.names, batch.columns))
             out["lang_pred"] = pa.array([x[0] for x in found], pa.string())
             out["score"] = pa.array([x[1] for x in found], pa.float64())

@@ -47,6 +47,13 @@ def test_forward_sums_all_segmentations():
     table = {"▁": [0.1], "a": [0.2], "b": [0.3], "▁a": [0.05], "ab": [0.07], "▁ab": [0.01]}
     got = langid.forward("ab", {k: np.array(v) for k, v in table.items()}, np.array([1e-9]), 3)[0]
     assert got == pytest.approx(0.1 * 0.2 * 0.3 + 0.05 * 0.3 + 0.1 * 0.07 + 0.01)
+    rng = np.random.default_rng(3)
+    two = {k: [v[0], float(rng.random())] for k, v in table.items()}
+    scorer = langid.Scorer(langid.Model(["x", "y"], two, [1e-6, 1e-3], 3))
+    words = ["ab", "b", "abab", "ca", "bbbbbbbbabc", "ü"]
+    want = [langid.forward(w, {k: np.array(v) for k, v in two.items()}, np.array([1e-6, 1e-3]), 3) for w in words]
+    assert np.allclose(scorer.forward(words), want, rtol=1e-12)
+    assert scorer.many(["ab ca", None, "ab", "1"])[1::2] == [("und", 0.0)] * 2
 
 
 def test_secrets(spark):
