@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.tokens import END_ID, VOCABULARY, word_cache
 
 CAPACITY = 4096
-#: Pieces that one packing run holds in memory.
+#: Pieces that one packing run holds in memory; packing tasks for each core of the cluster at most.
 CHUNK = 200_000
+TASKS_PER_CORE = 4
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED = pa.schema([*PIECE, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -139,6 +140,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Data
 
     key = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
     dealt = parts.repartition(key).sortWithinPartitions("doc_id", "piece", "ids_crc32")  # sorted: a task that runs again gives the same places
+    dealt = dealt.coalesce(TASKS_PER_CORE * parts.sparkSession.sparkContext.defaultParallelism)  # large pools leave few sequences half full
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
