@@ -117,7 +117,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     else:
         places = F.array(own)
     rows = rows.withColumn("p", F.explode(places)).select("doc_id", "text", "k", F.col("p.r").alias("r"), F.col("p.tail").alias("tail"))
-    rows = rows.repartition(n, "r").sortWithinPartitions("r", "tail", F.desc("k"), F.xxhash64("text"))
+    rows = rows.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "tail", F.desc("k"), F.xxhash64("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
