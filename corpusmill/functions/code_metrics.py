@@ -459,8 +459,11 @@ def compute_metrics(text: str, language: str) -> dict:
     return lines | {"cyclomatic_complexity": complexity, "max_nesting_depth": found.deepest} | operators | {"maintainability_index": index}
 
 
-def syntax_tree(text: str, language: str, depth: int = 999, leaf: int = 80) -> dict:
-    """Brackets as nodes and tokens as leaves, in the form type, text, children; long leaf texts end in three dots."""
+def syntax_tree(text: str, language: str, depth: int = 999, leaf: int = 80, signs: bool = True) -> dict:
+    """Brackets as nodes and tokens as leaves, in the form type, text, children; long leaf texts end in three dots.
+
+    For a viewer, depth 6, leaf 40 and no signs give a small tree.
+    """
     src = lex(text, language)
     cut = lambda s: s if len(s) <= leaf else s[: leaf - 3] + "..."
     root: dict = {"type": "module", "text": None, "children": []}
@@ -470,7 +473,7 @@ def syntax_tree(text: str, language: str, depth: int = 999, leaf: int = 80) -> d
         opens = t.kind == "sign" and t.text in names and i in src.partner
         node = {"type": names[t.text] if opens else t.text if t.kind == "sign" else t.kind, "text": None if opens else cut(t.text), "children": []}
         closes = t.kind == "sign" and i in src.partner and not opens
-        if len(path) <= depth:
+        if len(path) <= depth and (signs or opens or t.kind != "sign"):
             path[-1]["children"].append(node)
         if opens:
             path.append(node)

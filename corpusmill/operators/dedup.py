@@ -8,6 +8,7 @@ neighbour is dropped.
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import numpy as np
@@ -55,6 +56,19 @@ def exact_pairs(firsts: DataFrame, key: str, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
+@functools.cache
+def banding(threshold: float, permutations: int = 128) -> tuple[int, int]:
+    """Bands and rows whose chance to miss above the threshold and to hit below it, summed evenly, is least."""
+    s = (np.arange(1000) + 0.5) / 1000
+    below = s < threshold
+    best = (np.inf, 1, 1)
+    for bands in range(1, permutations + 1):
+        for rows in range(1, permutations // bands + 1):
+            hit = 1 - (1 - s**rows) ** bands
+            best = min(best, (float(np.where(below, hit, 1 - hit).sum()), bands, rows))
+    return best[1:]
+
+
 def band_pairs(sets: DataFrame, key: str, bands: int = 9, rows: int = 13) -> DataFrame:
     """a, b (a < b): pairs that share a MinHash band, unverified; an empty set's band keys are all alike."""
     rng = np.random.default_rng(7)
@@ -99,6 +113,6 @@ def deduplicate(rows: DataFrame, key: str, text: str, percent: int = 80, mode: s
     A copy of an earlier set always goes: what would drop the first also drops the copy.
     """
     firsts, copies = split_copies(token_sets(rows, key, text), key)
-    pairs = exact_pairs(firsts, key, percent) if mode == "exact" else band_pairs(firsts, key)
+    pairs = exact_pairs(firsts, key, percent) if mode == "exact" else band_pairs(firsts, key, *banding(percent / 100))
     dropped = keep_first(firsts, pairs, key).filter("NOT kept").select(key).unionByName(copies)
     return rows.join(dropped, key, "left_anti")

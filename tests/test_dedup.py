@@ -25,3 +25,11 @@ def test_copies_and_blanks(spark):
     df = spark.createDataFrame(rows, "k long, text string")
     for mode in ("exact", "lsh"):
         assert sorted(r["k"] for r in dedup.deduplicate(df, "k", "text", 80, mode).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_banding_follows_the_threshold():
+    from corpusmill.operators.dedup import banding
+
+    assert banding(0.8) == (9, 13)
+    (b1, r1), (b2, r2) = banding(0.4), banding(0.95)
+    assert b1 > b2 and r1 < r2 and b1 * r1 <= 128 and b2 * r2 <= 128

@@ -109,6 +109,7 @@ def test_measures_hold_together():
 def test_trees_and_lexing():
     deepest, n, kinds = tree_features("f(a, [b])", "Python")
     assert (deepest, n, kinds["name"]) == (3, 9, 3)
+    assert [c["type"] for c in syntax_tree("f(a, b);", "Java", 6, 40, signs=False)["children"]] == ["name", "parenthesized"]
     assert syntax_tree("x = '" + "y" * 100 + "'", "Python")["children"][2]["text"].endswith("...")
     assert [t.kind for t in lex("`a ${b + `c`} d` + 1", "JavaScript").tokens] == ["template", "sign", "number"]
     assert [t.kind for t in lex('auto s = R"x(")")x"; #', "C++").tokens] == ["name", "name", "sign", "string", "sign", "sign"]
