@@ -6,8 +6,8 @@
 2. Band keys alone travel first; sketches join those of buckets with several
    members. Members are compared by the population count of the XOR of their
    sketches, which estimates the similarity; a bucket gives a spanning forest of
-   the pairs that may reach the threshold, so its links are at most its members.
-   Buckets stream, and one over BLOCK members is met block by block.
+   the pairs that may reach the threshold. Buckets stream; only members that no
+   leader covers are held.
 3. Connected components of these links are families, a superset of the true
    components. Within a family the texts' full sets confirm links; pairs already
    joined are skipped, so copies cost one comparison each. A family over BLOCK
@@ -36,7 +36,7 @@ from corpusmill.llm.common import materialise
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-LEAST = 0.6
+LEAST, COVER = 0.6, 0.95
 BLOCK = 2048
 _CACHE = 400_000
 _rng = np.random.default_rng(41)
@@ -131,19 +131,53 @@ class Forest:
         return up
 
 
-def spanning_links(sketches: np.ndarray, least: float = LEAST) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose estimate reaches least: breadth first from each member not yet reached."""
-    n, links = len(sketches), []
-    left = np.arange(n)
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            i = queue.pop()
-            close = estimate(np.bitwise_count(sketches[left] ^ sketches[i]).sum(1)) >= least
-            links += [(int(i), int(j)) for j in left[close]]
-            queue += left[close].tolist()
-            left = left[~close]
-    return links
+class Leaders:
+    """The members of a bucket that later ones must meet.
+
+    A member that a leader covers (estimate of at least COVER) is linked and goes:
+    whatever is similar to it is, by the triangle inequality of the Jaccard
+    distance, similar enough to its leader (0.95 + 0.8 - 1 is over LEAST). So a
+    bucket of copies holds a few rows however many pass. Links only join what is
+    still apart, so they are at most the members and leaders.
+    """
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.sketches = np.zeros((16, SKETCH_BITS // 64), np.uint64)
+        self.forest = Forest(0)
+
+    def add(self, ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
+        return [x for at in range(0, len(ids), 128) for x in self._add(ids[at : at + 128].tolist(), sketches[at : at + 128])]
+
+    def _add(self, ids: list[int], sketches: np.ndarray) -> list[tuple[int, int]]:
+        links, covered = [], np.zeros(len(ids), bool)
+        near: list[list[int]] = [[] for _ in ids]  # leaders that each member may be similar to
+        for at in range(0, len(self.ids), 1024):
+            likely = estimate(np.bitwise_count(sketches[:, None] ^ self.sketches[None, at : min(at + 1024, len(self.ids))]).sum(2))
+            for i, k in zip(*(x.tolist() for x in np.nonzero(likely >= LEAST))):
+                near[i].append(at + k)
+            covered |= (likely >= COVER).any(1)
+        for i, name in enumerate(ids):
+            if near[i]:
+                links.append((self.ids[near[i][0]], name))
+                links += [(self.ids[k], name) for k in near[i][1:] if self.forest.join(near[i][0], k)]
+            if covered[i]:
+                continue
+            k = len(self.ids)
+            self.ids.append(name)
+            self.forest.up.append(k)
+            if near[i]:
+                self.forest.join(near[i][0], k)
+            if k == len(self.sketches):
+                self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
+            self.sketches[k] = sketches[i]
+            rest = i + 1 + np.flatnonzero(~covered[i + 1 :])
+            if len(rest):
+                likely = estimate(np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1))
+                for j in rest[likely >= LEAST].tolist():
+                    near[j].append(k)
+                covered[rest[likely >= COVER]] = True
+        return links
 
 
 def _arrow_rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
@@ -192,49 +226,18 @@ def bucket_links(banded: DataFrame) -> DataFrame:
     """a, b: sketch-level links within band buckets; banded has band, id, sketch."""
     names, types = ["a", "b"], [pa.int64(), pa.int64()]
 
-    def links(ids: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int]]:
-        if len(ids) <= BLOCK:
-            return [(int(ids[i]), int(ids[j])) for i, j in spanning_links(sketches)]
-        out = []
-        blocks = [slice(k, k + BLOCK) for k in range(0, len(ids), BLOCK)]
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        forest = Forest(len(ids))
-        for s in blocks:  # within blocks, then each block's members against those of earlier blocks that are not yet joined to them
-            for i, j in spanning_links(sketches[s]):
-                forest.join(s.start + i, s.start + j)
-                out.append((int(ids[s.start + i]), int(ids[s.start + j])))
-        for x in range(1, len(blocks)):
-            for i in range(blocks[x].start, min(blocks[x].stop, len(ids))):
-                roots = forest.roots() if i == blocks[x].start or changed else roots
-                changed = False
-                apart = np.flatnonzero(roots[: blocks[x].start] != roots[i])
-                if len(apart):
-                    close = apart[estimate(np.bitwise_count(sketches[apart] ^ sketches[i]).sum(1)) >= LEAST]
-                    for r in np.unique(roots[close]).tolist():
-                        j = int(close[roots[close] == r][0])
-                        if forest.join(i, j):
-                            changed = True
-                            out.append((int(ids[j]), int(ids[i])))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, sketches = None, [], []
+        at, leaders = None, Leaders()
         for batch in batches:
             rows, band = [], batch.column(0).to_numpy()
-            i = batch.column(1).to_numpy()
-            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if band[lo] != at and ids:
-                    if len(ids) > 1 or len(ids[0]) > 1:
-                        rows += links(np.concatenate(ids), np.concatenate(sketches))
-                    ids, sketches = [], []
-                at = band[lo]
-                ids.append(i[lo:hi])
-                sketches.append(s[lo:hi])
+            ids = batch.column(1).to_numpy()
+            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True]) if len(band) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if band[lo] != at:
+                    at, leaders = band[lo], Leaders()
+                rows += leaders.add(ids[lo:hi], sketches[lo:hi])
             yield _arrow_rows(names, types, rows)
-        if ids and (len(ids) > 1 or len(ids[0]) > 1):
-            yield _arrow_rows(names, types, links(np.concatenate(ids), np.concatenate(sketches)))
 
     return banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "a long, b long").distinct()
 
@@ -287,7 +290,8 @@ def confirmed_groups(sets: list[np.ndarray], percent: int, forest: Forest | None
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row with a doc_id."""
     signed = materialise(sign(docs, size), "dup-signed")
-    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    # Written, so that Spark can split the join back to a class of very many copies.
+    classes = materialise(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first")), "dup-classes")
     # Equal sets have equal bands and sketches; of an id with several texts, the least sketch stands for it.
     members = signed.filter("n_shingles > 0").groupBy("set_key")
     banded = members.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "id")

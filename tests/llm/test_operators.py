@@ -146,6 +146,29 @@ def test_odd_sketch_estimates():
     assert abs(neardup.estimate(np.bitwise_count(sketches[0] ^ sketches[1]).sum()[None])[0] - 0.9) < 0.1
 
 
+def test_leaders_keep_every_link_of_a_bucket():
+    rng = np.random.default_rng(12)
+    sets, current = [], rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for i in range(300):  # a walk through near copies, with copies on the way
+        if i % 3:
+            current = current.copy()
+            current[rng.integers(0, 400, int(rng.integers(1, 30)))] = rng.integers(0, 2**63, 1, dtype=np.uint64)
+        sets.append(np.unique(current))
+    order = rng.permutation(300)
+    sketches = np.stack([np.frombuffer(neardup.odd_sketch(neardup.signature(sets[i])), np.uint64) for i in order])
+    leaders, forest, n = neardup.Leaders(), neardup.Forest(300), 0
+    for lo in range(0, 300, 77):
+        for a, b in leaders.add(order[lo : lo + 77], sketches[lo : lo + 77]):
+            forest.join(int(a), int(b))
+            n += 1
+    roots = forest.roots()
+    for i in range(300):
+        for j in range(i):
+            if neardup._similar(sets[i], sets[j], 80):
+                assert roots[i] == roots[j]
+    assert len(leaders.ids) < 250 and n <= 300 + len(leaders.ids)
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "https://A.Example.COM/en/7?x#y", "https://com/en/1", "https://x.net/de/8", "https://m.example.net/de/80", "ftp://u.org/es/", "https://x.fr/en/"]
     pages = spark.createDataFrame([(i, u, "allow") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
