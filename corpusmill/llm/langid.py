@@ -39,7 +39,7 @@ WORD = 48
 EVIDENCE = 10
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 400_000
+_CACHE = 200_000
 #: Numbers that a forward pass holds at most; code points of texts that are scored together.
 _CELLS, RUN = 1 << 22, 2_000_000
 

@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 LEAST, COVER = 0.6, 0.95
 BLOCK = 2048
-_CACHE = 400_000
+_CACHE = 200_000
 _rng = np.random.default_rng(41)
 _MULT = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)

@@ -32,7 +32,7 @@ def _byte_symbols() -> dict[int, str]:
 class WordCache:
     """Encodes texts; holds the ids of at most ``limit`` pieces."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 500_000):
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
