@@ -2,10 +2,12 @@
 
 Vectors are augmented so that the largest inner product becomes the smallest
 distance, then projected at random for each curve, shifted, and put in Hilbert
-order. Key quantiles cut each order in cells of about equal counts. A query
-meets the vectors of the cells around its own, ``reach`` of the order to either
-side, in the segment that holds its cell; a segment also gets the cells that its
-outer queries reach, so each query is answered in one place a curve. Segments
+order. Key quantiles cut each order in cells of about equal counts; a key that
+many vectors share spans several. A query meets the vectors of the cells that
+its key spans and of those around, ``reach`` of the order to either side;
+vectors with one key are met all or none. It is answered in one segment a curve,
+which holds one of its key's cells; a segment also gets the vectors that its
+queries reach, so queries of a key that spans several segments are spread. Segments
 stream: queries are held, candidates pass in batches. The curves' best are
 merged and carry exact inner products in double precision.
 
@@ -23,12 +25,13 @@ below SMALL vectors every window covers all; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +42,6 @@ DIMENSIONS = 8
 BITS = 6
 CELLS = 64
 SEGMENTS = 8
-SALT_BITS = 12
 SEED = 29
 SMALL = 2000
 #: Rows of the result in each of its partitions at most, about.
@@ -91,16 +93,16 @@ def curve_keys(vectors: np.ndarray, curve: int, norm_most: float, query: bool =
 class Best:
     """The best partners so far of a block of queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, k: int):
-        self.ids, self.vectors, self.cells, self.k = ids, vectors, cells, k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+        self.ids, self.vectors, self.low, self.high, self.k = ids, vectors, low, high, k
         self.score = np.full((len(ids), k), -np.inf)
         self.partner = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, reach: int) -> None:
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, reach: int) -> None:
         for at in range(0, len(self.ids), 256):
             s = slice(at, at + 256)
             sims = self.vectors[s] @ vectors.T
-            far = (np.abs(self.cells[s, None] - cells[None]) > reach) | (self.ids[s, None] == ids[None])
+            far = (low[None] - self.high[s, None] > reach) | (self.low[s, None] - high[None] > reach) | (self.ids[s, None] == ids[None])
             sims[far] = -np.inf
             every = np.hstack([self.score[s], sims])
             names = np.hstack([self.partner[s], np.broadcast_to(ids, sims.shape)])
@@ -144,23 +146,34 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
             ids, indexed, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             flat = batch.column(1)
             vectors = flat.flatten().to_numpy().reshape(len(ids), -1)
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SALT_BITS)).astype(np.int64)
             for role, mask in ((True, query), (False, indexed)):
                 mask = mask.astype(bool)
                 if mask.any():
                     for c in range(curves):
-                        key = curve_keys(vectors[mask], c, norm_most, role) << SALT_BITS | salt[mask]
+                        key = curve_keys(vectors[mask], c, norm_most, role)
                         m = int(mask.sum())
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c, np.int32)), pa.array(np.full(m, role)), pa.array(key), pa.array(ids[mask]), flat.filter(pa.array(mask))], names=["curve", "role", "key", "vec_id", "embedding"])
 
     points = rows.mapInArrow(keyed, "curve int, role boolean, key long, vec_id long, embedding array<double>").persist(StorageLevel.DISK_ONLY)
     found = {r["curve"]: r["b"] for r in points.filter(~F.col("role")).groupBy("curve").agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], 5000).alias("b")).collect()}
-    bounds = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in found.get(c, [])]).cast("array<long>") for c in range(curves)]), F.col("curve") + 1)
-    points = points.withColumn("cell", F.size(F.filter(bounds, lambda b: b < F.col("key"))))
-    first = F.greatest(F.lit(0), F.ceil((F.col("cell") - wide - (each - 1)) / each)).cast("int")
-    last = F.least(F.lit(segments - 1), F.floor((F.col("cell") + wide) / each)).cast("int")
-    own = F.floor(F.col("cell") / each).cast("int")
-    places = F.when(F.col("role"), F.array(own)).otherwise(F.sequence(first, last))
+
+    def of_curve(values: Callable[[list[int]], list[int]]) -> Column:
+        every = [values([int(x) for x in found.get(c, [])]) for c in range(curves)]
+        return F.element_at(F.array(*[F.array(*[F.lit(x) for x in v]).cast("array<long>") for v in every]), F.col("curve") + 1)
+
+    # The first and last cell of any key that comes within reach of a vector whose key spans low to high.
+    def least(b: list[int]) -> list[int]:
+        return [bisect_left(b, b[low - wide - 1]) if b and low > wide else 0 for low in range(cells)]
+
+    def most(b: list[int]) -> list[int]:
+        return [bisect_right(b, b[high + wide]) if high + wide < len(b) else cells - 1 for high in range(cells)]
+
+    bounds = of_curve(list)
+    points = points.withColumn("low", F.size(F.filter(bounds, lambda b: b < F.col("key")))).withColumn("high", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
+    segment = lambda cell: F.floor(cell / each).cast("int")
+    own = segment(F.col("low") + F.pmod(F.xxhash64("vec_id"), F.col("high") - F.col("low") + 1))
+    reached = F.sequence(segment(F.element_at(of_curve(least), F.col("low") + 1)), segment(F.element_at(of_curve(most), F.col("high") + 1)))
+    places = F.when(F.col("role"), F.array(own)).otherwise(reached)
     points = points.withColumn("segment", F.explode(places)).repartition("curve", "segment").sortWithinPartitions("curve", "segment", F.desc("role"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -172,8 +185,8 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
             return pa.record_batch([pa.array(np.broadcast_to(best.ids[:, None], some.shape)[some]), pa.array(best.partner[some]), pa.array(best.score[some])], schema=schema)
 
         for batch in batches:
-            curve, segment, role, ids, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4))
-            vectors = batch.column(5).flatten().to_numpy().reshape(len(ids), -1)
+            curve, segment, role, ids, low, high = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            vectors = batch.column(6).flatten().to_numpy().reshape(len(ids), -1)
             group = curve.astype(np.int64) << 32 | segment
             cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
             for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -183,17 +196,17 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
                     at, held, best = group[lo], [], None
                 q = lo + int(role[lo:hi].astype(bool).sum())
                 if q > lo:
-                    held.append((ids[lo:q].copy(), vectors[lo:q].copy(), cell[lo:q].copy()))
+                    held.append((ids[lo:q].copy(), vectors[lo:q].copy(), low[lo:q].copy(), high[lo:q].copy()))
                 if q < hi and held:
                     if best is None:
                         best = Best(*(np.concatenate(x) for x in zip(*held)), neighbours)
                     for k in range(q, hi, 2048):
                         e = min(k + 2048, hi)
-                        best.meet(ids[k:e], vectors[k:e], cell[k:e], wide)
+                        best.meet(ids[k:e], vectors[k:e], low[k:e], high[k:e], wide)
         if best is not None:
             yield done()
 
-    pairs = points.select("curve", "segment", "role", "vec_id", "cell", "embedding").mapInArrow(answer, "query_id long, vec_id long, score double")
+    pairs = points.select("curve", "segment", "role", "vec_id", "low", "high", "embedding").mapInArrow(answer, "query_id long, vec_id long, score double")
     pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").coalesce(max(SEGMENTS, facts["q"] * neighbours // OUT_ROWS))
