@@ -18,8 +18,9 @@ Defined results: vectors that are null, empty, zero, of another than the most
 frequent dimension, or hold null or non-finite components take no part; of equal
 vectors only the ``neighbours + 1`` with the smallest ids can be among the
 nearest, so only they are indexed, all are queries; ties go to the smaller id;
-with fewer candidates than ``neighbours`` those within reach are returned, and
-below SMALL vectors every window covers all; an empty table gives no rows.
+with fewer candidates than ``neighbours`` those within reach are returned; a
+window reaches at least about SMALL vectors to either side, so it covers small
+tables and narrows without a step above; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS,
     n, norm_most = facts["n"], math.sqrt(facts["m"] or 1.0)
     segments = max(SEGMENTS, math.ceil(n / 400_000))
     cells = segments * (CELLS // SEGMENTS)
-    wide = cells if n <= SMALL else math.ceil(reach * cells)
+    wide = min(cells, math.ceil(max(reach, SMALL / max(n, 1)) * cells))
     each = cells // segments
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,3 +27,15 @@ def test_a_jittered_cluster_is_met_whole(spark, monkeypatch):
     assert len(got) == 100
     assert np.mean([r for q, r in got.items() if q < 666]) > 0.99
     assert np.mean([r for q, r in got.items() if q >= 666]) > 0.95
+
+
+def test_windows_narrow_without_a_step(spark):
+    rng = np.random.default_rng(7)
+    e = rng.standard_normal((4400, 64))
+    assert np.mean(list(recalls(spark, e[:2001]).values())) == 1.0
+    assert np.mean(list(recalls(spark, e).values())) > 0.99
+
+
+def test_recall_through_the_narrowest_windows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SMALL", 0)
+    assert np.mean(list(recalls(spark, np.random.default_rng(7).standard_normal((2400, 64))).values())) > 0.92
