@@ -461,6 +461,22 @@ def lookup_first(t: _Reader) -> DataFrame:
     return t("labels").select("doc_id").join(docs, "doc_id").join(docs.groupBy("sig").agg(F.min("doc_id").alias("first_id")), "sig").select("doc_id", "first_id")
 
 
+@query("contamination_whole", "SELECT d.doc_id FROM documents d WHERE d.text IN (SELECT text FROM benchmark WHERE text IS NOT NULL) OR d.source IN (SELECT 'src' || (item_id % 3) FROM benchmark)")
+def contamination_whole(t: _Reader) -> DataFrame:
+    """As contamination_semi, by whole texts."""
+    marks = t("benchmark").select(F.sha2("text", 256).alias("k")).distinct()
+    sources = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source")).distinct()
+    docs = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
+    return docs.join(marks, "k", "left_semi").select("doc_id").unionByName(docs.join(sources, "source", "left_semi").select("doc_id")).distinct()
+
+
+@query("lookup_first_whole", "SELECT l.doc_id, f.first_id FROM labels l JOIN documents d USING (doc_id) JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY 1) f ON f.text = d.text")
+def lookup_first_whole(t: _Reader) -> DataFrame:
+    """As lookup_first, by whole texts."""
+    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("sig"))
+    return t("labels").select("doc_id").join(docs, "doc_id").join(docs.groupBy("sig").agg(F.min("doc_id").alias("first_id")), "sig").select("doc_id", "first_id")
+
+
 @query("caps_lookup", f"WITH {_CAPS.format(cap=CAP)} SELECT d.doc_id, CASE WHEN d.source = 'src1' THEN NULL ELSE cap_rows END AS cap_rows FROM documents d LEFT JOIN caps ON caps.repo = d.source")
 def caps_lookup(t: _Reader) -> DataFrame:
     return _documents(t).select("doc_id", "repo").join(F.broadcast(_caps(t).filter(F.col("repo") != "src1")), "repo", "left").select("doc_id", "cap_rows")
