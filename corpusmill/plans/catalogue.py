@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -637,6 +638,20 @@ def file_order(t: _Reader) -> DataFrame:
     return first.select("page_id", F.row_number().over(Window.orderBy("k", "page_id")).cast("long").alias("pos"))
 
 
+@query("file_order_all", f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), k AS (SELECT page_id, path, len(string_split(path, '/')) AS n, string_split(path, '/') AS parts FROM p) SELECT page_id, row_number() OVER (ORDER BY list_transform(parts, lambda x, i: {{'d': i < n, 'x': x}}), page_id) AS pos FROM k")
+def file_order_all(t: _Reader) -> DataFrame:
+    """file_order of every page: places in ranges of the order, and how many pages the ranges before hold."""
+    parts = F.split(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/", -1)
+    rows = t("pages").select("page_id", parts.alias("parts"))
+    key = F.transform("parts", lambda x, i: F.struct((i < F.size("parts") - 1).alias("d"), x.alias("x")))
+    # The upper bits number the range, the lower 33 the row in it; kept, so that both uses see the same ranges.
+    placed = rows.select("page_id", key.alias("k")).orderBy("k", "page_id").select("page_id", F.monotonically_increasing_id().alias("at")).persist(StorageLevel.DISK_ONLY)
+    placed = placed.select("page_id", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    return placed.join(F.broadcast(ranges), "range").select("page_id", (F.col("before") + F.col("i") + 1).alias("pos"))
+
+
 @query("skip_counts", f"SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, count(*) FILTER (WHERE list_contains(string_split({_PATH}, '/')[1:-2], 'en')) AS skipped, count(*) AS files FROM pages GROUP BY 1")
 def skip_counts(t: _Reader) -> DataFrame:
     parts = F.split(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/", -1)
