@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm import langid, mixing, neardup, packing, secretscan
 from corpusmill.llm.common import materialise
@@ -25,7 +26,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its source's target takes it, up to twice."""
-    return mixing.apply_mix(docs, mixing.plan(docs))
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")  # ids may repeat or be null
+    return mixing.apply_mix(rows, mixing.plan(rows, key="_row"), "_row").select(*docs.columns)
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

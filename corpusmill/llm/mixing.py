@@ -106,10 +106,13 @@ def _order(spark_rows: list) -> list:
     return sorted(spark_rows, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of docs."""
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, key: str | None = None) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken for every row of docs, and its key where a column of unique keys is named."""
     spark = docs.sparkSession
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("h")), "mix-sizes")
+    keys = [key] if key else []
+    # Rows without an id are told apart by their keys.
+    told = F.coalesce(F.col("doc_id").cast("long"), F.col(key)) if key else F.col("doc_id")
+    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), told, "source").alias("h"), *keys), "mix-sizes")
     hist = sized.groupBy("source", "size").agg(F.count("*").alias("n")).persist()
     # One row per source: bounded by the number of sources, which the caller names and weighs.
     per = _order(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect())
@@ -130,18 +133,18 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     fitted = materialise(fitted.withColumn("ranges", F.ceil(F.col("n") / RANGE)), "mix-fit")
     hist.unpersist()
     a, b = sized.alias("a"), fitted.alias("b")
-    rows = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select("a.doc_id", "a.size", "a.source", "a.h", "b.source_size", "b.target", "b.whole", "b.extra", F.pmod(F.shiftrightunsigned("a.h", 20), F.col("b.ranges")).alias("r"))
+    rows = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select("a.doc_id", "a.size", "a.source", "a.h", "b.source_size", "b.target", "b.whole", "b.extra", F.pmod(F.shiftrightunsigned("a.h", 20), F.col("b.ranges")).alias("r"), *keys)
     group = ["source", "size", "r"]
     runs = rows.groupBy(*group).agg(F.count("*").alias("in_range")).withColumn("before", F.sum("in_range").over(Window.partitionBy("source", "size").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))).na.fill({"before": 0})
     x, y = rows.alias("x"), runs.alias("y")
     rows = x.join(y, F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.r") == F.col("y.r"))).select("x.*", "y.before")
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("h", "doc_id", *keys))
     more = (F.col("before") + rank <= F.col("extra")).cast("long")
-    return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"))
+    return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * (F.col("whole") + more)).alias("taken"), *keys)
 
 
-def apply_mix(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    """docs with each row as often as the plan takes it; rows with one doc_id and source share one decision."""
-    times = planned.filter(F.col("taken") > 0).groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
-    kept = docs.alias("d").join(times.alias("t"), F.col("d.doc_id") == F.col("t.doc_id")).select("d.*", F.col("t.mix_times"))
+def apply_mix(docs: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with each row as often as the plan takes it; rows with one key share one decision."""
+    times = planned.filter(F.col("taken") > 0).groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
+    kept = docs.alias("d").join(times.alias("t"), F.col(f"d.{key}") == F.col(f"t.{key}")).select("d.*", F.col("t.mix_times"))
     return kept.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).drop("mix_times")

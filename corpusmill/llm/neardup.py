@@ -370,8 +370,14 @@ def _across(docs: DataFrame, local: DataFrame, blocks: DataFrame, size: int, per
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id, once; wordless ones all stay."""
+    """docs with one row of each group: the one with the smallest id, once, a null id after all others; wordless ones all stay.
+
+    Rows are told apart by a key of their own, so ids may repeat or be null.
+    """
     columns = docs.columns
-    marks = near_duplicates(docs, size, percent)
-    kept = marks.filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").select(*columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "dup-rows")
+    marks = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent)
+    ids = rows.select(F.col("_row").alias("_kept_row"), F.col("doc_id").alias("_id"))
+    grouped = marks.join(ids, F.col("doc_id") == F.col("_kept_row")).groupBy("component_id")
+    kept = grouped.agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_kept_row"))["_kept_row"].alias("_kept_row"))
+    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(*columns)
