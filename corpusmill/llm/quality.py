@@ -15,6 +15,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +42,22 @@ def _hash(s: str) -> int:
     return xxhash.xxh32_intdigest(s.encode("utf-8", "surrogatepass"))
 
 
+class _Kinds(dict):
+    """Code point to the sign of its kind, filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
+        return kind
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"([Aa0])\1+")
+
+
 def shape(word: str) -> str:
-    """Case, digits and marks of a word, runs of one kind cut to one sign."""
-    out = []
-    for ch in word[:40]:
-        kind = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
-        if not out or out[-1] != kind or kind not in "Aa0":
-            out.append(kind)
-    return "".join(out)
+    """Case, digits and marks of a whole word, runs of one kind cut to one sign."""
+    return _RUNS.sub(r"\1", word.translate(_KINDS))
 
 
 class Counter:
