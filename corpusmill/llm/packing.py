@@ -96,19 +96,23 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each document's ids, the end id included."""
-    end = np.array([END_ID], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(vocabulary)
         for batch in batches:
-            rows: list[list[int]] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = cache.encode(text.as_py()) + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    for column, v in zip(rows, (doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(v)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, PIECE.types)], schema=PIECE)
+            doc_ids, at = batch.column(0), 0
+            for ids, cuts in cache.encode_all(batch.column(1), END_ID):
+                whole = np.diff(cuts)
+                n = -(-whole // capacity)
+                owner = np.repeat(np.arange(len(whole)), n)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, whole[owner] - start)
+                first = cuts[owner] + start
+                ids = np.ascontiguousarray(ids, "<u4")
+                checks = [zlib.crc32(ids[i : i + k]) for i, k in zip(first.tolist(), length.tolist())]
+                columns = [doc_ids.take(pa.array(at + owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(checks, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, schema=PIECE)
+                at += len(whole)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

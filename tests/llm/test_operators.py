@@ -7,8 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpusmill.llm import ann, digest, langid, mixing, neardup, packing, quality, secretscan, tokenfile, urlfilter
-from corpusmill.llm.tokens import WordCache
+from corpusmill.llm import ann, digest, langid, mixing, neardup, packing, quality, secretscan, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rank int"
 BASE = "the quick brown fox jumps over the lazy dog while seven old owls watch from a tall dark tree near the river bank today "
@@ -24,13 +23,6 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_word_cache_equals_the_library():
-    cache = WordCache(limit=5)
-    for t in [*TEXTS[1:], "don't stop. it's 5 o'clock!! (a,b) ça où été naïve\tx\x85y\xa0z", "ISTANBUL İ ı"]:
-        want = np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert cache.encode(t) == want and cache.encode(t) == want
-
-
 def test_language_id(spark):
     df = docs(spark)
     got = {r["doc_id"]: r for r in langid.identify(df).collect()}
@@ -232,29 +224,6 @@ def test_digests(spark):
     assert digest.neighbours(empty(spark)).collect() == []
 
 
-def test_token_files(spark):
-    cache, end = WordCache(), np.array([1], "<u4").tobytes()
-    at = 0
-    rows = {r["doc_id"]: r for r in tokenfile.round_trip(docs(spark)).collect()}
-    for i, t in enumerate(TEXTS):
-        ids = cache.encode(t) + end
-        assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
-        at += len(ids) // 4
-    assert tokenfile.round_trip(empty(spark)).collect() == []
-
-
-def test_segments_round_trip():
-    rng = np.random.default_rng(8)
-    parts = [rng.integers(0, 49408, n).astype("<u4").tobytes() for n in (0, 1, 700, 5)] + [np.full(900, 49407, "<u4").tobytes(), (rng.geometric(0.01, 2000) % 65536).astype("<u4").tobytes()]
-    names = [None, 1, 2, 2, -5, 9]
-    data = tokenfile.encode_segment(names, parts, block=256)
-    assert tokenfile.decode_segment(data) == (names, parts)
-    broken = bytearray(data)
-    broken[-40] ^= 255
-    with pytest.raises(ValueError):
-        tokenfile.decode_segment(bytes(broken))
-
-
 def test_mixing(spark):
     df = docs(spark)
     rows = mixing.plan(df).collect()
