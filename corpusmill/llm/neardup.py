@@ -7,19 +7,26 @@
    members. Members are compared by the population count of the XOR of their
    sketches, which estimates the similarity; a bucket gives a spanning forest of
    the pairs that may reach the threshold. Buckets stream; only members that no
-   leader covers are held.
+   leader covers are held. A bucket of over PART members is met in parts, then
+   the parts' leaders meet.
 3. Connected components of these links are families, a superset of the true
    components. Within a family the texts' full sets confirm links; pairs already
    joined are skipped, so copies cost one comparison each. A family over BLOCK
-   members is cut in blocks; what its blocks leave apart is met in block pairs.
+   members or SHINGLES shingles is cut in blocks; what its blocks leave apart is
+   met in block pairs. Families whose every pair is near but not near enough
+   need all of their pairs.
+
+In the component search a node of very many links is joined by broadcast; at most
+20,000 nodes can have so large a share of the links.
 
 Missing a link at similarity 0.8 needs all BANDS bands to differ (about 5e-8 for
 32 bands of 4) or a sketch estimate under LEAST, far from 0.8.
 
 Defined results: null or wordless text has an empty set and is linked with
 nothing; with fewer words than a shingle, the whole sequence is the one shingle;
-equal rows form one class; rows with a null doc_id are dropped; an empty table
-gives no rows; other columns are ignored.
+equal rows form one class; rows with a null doc_id take part, and their
+component_id is null where no row with an id is in reach (the rows of one of its
+texts are then kept); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import fresh, materialise, remove, written
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
-LEAST, COVER = 0.6, 0.95
-BLOCK = 2048
+#: Estimates from which pairs may be near, members are covered by a leader, leaders of a bucket's parts by another.
+LEAST, COVER, COVER_LEADER = 0.6, 0.95, 0.99
+#: Members of a band bucket that are met in one task.
+PART = 1024
+#: Members of a block, and shingles of its members together, at most about.
+BLOCK, SHINGLES = 2048, 8_000_000
+#: Links from which a node is joined by broadcast in the component search, at least.
+HUB = 1000
+#: Stand-ins for null ids are above this, so that any usual id comes before them.
+NULLS = 1 << 62
 _CACHE = 200_000
 _rng = np.random.default_rng(41)
 _MULT = _rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -141,7 +156,8 @@ class Leaders:
     still apart, so they are at most the members and leaders.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, cover: float = COVER) -> None:
+        self.cover = cover
         self.ids: list[int] = []
         self.sketches = np.zeros((16, SKETCH_BITS // 64), np.uint64)
         self.forest = Forest(0)
@@ -156,7 +172,7 @@ class Leaders:
             likely = estimate(np.bitwise_count(sketches[:, None] ^ self.sketches[None, at : min(at + 1024, len(self.ids))]).sum(2))
             for i, k in zip(*(x.tolist() for x in np.nonzero(likely >= LEAST))):
                 near[i].append(at + k)
-            covered |= (likely >= COVER).any(1)
+            covered |= (likely >= self.cover).any(1)
         for i, name in enumerate(ids):
             if near[i]:
                 links.append((self.ids[near[i][0]], name))
@@ -176,7 +192,7 @@ class Leaders:
                 likely = estimate(np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1))
                 for j in rest[likely >= LEAST].tolist():
                     near[j].append(k)
-                covered[rest[likely >= COVER]] = True
+                covered[rest[likely >= self.cover]] = True
         return links
 
 
@@ -200,14 +216,19 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                     rows.append((doc_id, 0, b"e%d" % doc_id, None, None))  # a key of its own, so that wordless rows do not meet in one task
             yield _arrow_rows(names, types, rows)
 
-    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.select(named(docs), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+
+
+def named(docs: DataFrame) -> Column:
+    """doc_id; for null ids a stand-in from the text's hash, alike for equal texts."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULLS) + F.xxhash64(F.lit(19), "text").bitwiseAND(F.lit(NULLS - 1))).alias("doc_id")
 
 
 def shared_bands(banded: DataFrame) -> DataFrame:
-    """The (band, id) rows of buckets with more than one row; most texts share none, so that few sketches travel on."""
+    """band, id and part of the rows of buckets with more than one row, PART rows a part; most texts share none, so that few sketches travel on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, given = None, False  # the row before this batch, and whether it was given out
+        last, given, n = None, False, 0  # the row before this batch, whether it was given out, and its place in its bucket
         for batch in batches:
             band, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(band):
@@ -216,54 +237,90 @@ def shared_bands(banded: DataFrame) -> DataFrame:
             keep = as_before.copy()
             keep[:-1] |= as_before[1:]
             late = [last] if as_before[0] and not given else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[[x[k] for x in late], v[keep]].astype(np.int64)) for k, v in enumerate((band, ids))], names=["band", "id"])
-            last, given = (band[-1], ids[-1]), bool(keep[-1])
+            at = np.arange(len(band))
+            begins = np.maximum.accumulate(np.where(as_before, -1, at))
+            place = np.where(begins < 0, n + 1 + at, at - begins)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([x[k] for x in late], np.int64), v[keep]])) for k, v in enumerate((band, ids, place // PART))], names=["band", "id", "part"])
+            last, given, n = (band[-1], ids[-1], int(place[-1]) // PART), bool(keep[-1]), int(place[-1])
 
-    return banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "band long, id long")
+    return banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "band long, id long, part long")
 
 
 def bucket_links(banded: DataFrame) -> DataFrame:
-    """a, b: sketch-level links within band buckets; banded has band, id, sketch."""
-    names, types = ["a", "b"], [pa.int64(), pa.int64()]
+    """a, b: sketch-level links within band buckets; banded has band, id, part, sketch."""
+    names, types = ["a", "b", "band", "sketch"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def meet(cover: float, parts: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, leaders, n = None, Leaders(cover), 0
+
+            def led() -> list[tuple]:
+                """A row for each leader of a part that may not be all of its bucket."""
+                if at is None or not parts or (at[1] == 0 and n < PART):
+                    return []
+                return [(i, i, at[0], s.tobytes()) for i, s in zip(leaders.ids, leaders.sketches)]
+
+            for batch in batches:
+                rows, band, ids, part = [], *(batch.column(k).to_numpy() for k in range(3))
+                sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                cuts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (part[1:] != part[:-1]), True]) if len(band) else np.zeros(0, np.int64)
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    if (band[lo], part[lo]) != at:
+                        rows += led()
+                        at, leaders, n = (band[lo], part[lo]), Leaders(cover), 0
+                    rows += [(a, b, None, None) for a, b in leaders.add(ids[lo:hi], sketches[lo:hi])]
+                    n += hi - lo
+                yield _arrow_rows(names, types, rows)
+            if rest := led():
+                yield _arrow_rows(names, types, rest)
+
+        return run
+
+    schema = "a long, b long, band long, sketch binary"
+    dealt = banded.select("band", "id", "part", "sketch").repartition("band", "part").sortWithinPartitions("band", "part", "id")
+    first = materialise(dealt.mapInArrow(meet(COVER, True), schema), "dup-links")
+    leaders = first.filter("band IS NOT NULL").select("band", F.col("a").alias("id"), F.lit(0).cast("long").alias("part"), "sketch")
+    second = leaders.repartition("band").sortWithinPartitions("band", "id").mapInArrow(meet(COVER_LEADER, False), schema)
+    return first.filter("band IS NULL").unionByName(second).select("a", "b").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, Leaders()
-        for batch in batches:
-            rows, band = [], batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
-            sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True]) if len(band) else np.zeros(0, np.int64)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if band[lo] != at:
-                    at, leaders = band[lo], Leaders()
-                rows += leaders.add(ids[lo:hi], sketches[lo:hi])
-            yield _arrow_rows(names, types, rows)
 
-    return banded.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "a long, b long").distinct()
+def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, root: least reachable node, for every node of links; alternating large-star and small-star steps.
 
+    RuntimeError where that many rounds do not settle it (they need about the
+    logarithm of the longest chain).
+    """
+    spark = links.sparkSession
+    edges, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-links")
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: least reachable node, for every node of links; alternating large-star and small-star steps."""
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-links")
+    def measured() -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, hub: int) -> DataFrame:
         """Large: each node's larger neighbours go to its least neighbour; small: its smaller ones and itself do."""
         around = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select("u", "v")
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        moved = around.join(least, "u")
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        # Twice the links over hub is the most that there can be of these.
+        hubs = F.broadcast(least.filter(F.col("n") >= hub).select("u", "m"))
+        moved = around.join(hubs, "u").unionByName(around.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") < hub).select("u", "m"), "u"))
         if large:
             moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return moved.filter("u <> v").distinct()
 
-    before = None
+    before = measured()
     for _ in range(rounds):
-        edges = materialise(star(star(edges, True), False), "cc-round")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        hub = max(HUB, before[0] // 10_000)
+        old = path
+        edges, path = written(star(star(edges, True, hub), False, hub), "cc-round")
+        remove(spark, old)
+        now = measured()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
 
@@ -287,66 +344,75 @@ def confirmed_groups(sets: list[np.ndarray], percent: int, forest: Forest | None
     return forest
 
 
+def _sets(rows: pa.Table, order: np.ndarray, size: int) -> list[np.ndarray]:
+    return [shingles(rows["text"][int(i)].as_py(), size) for i in order]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row with a doc_id."""
+    """doc_id, n_shingles, component_id, kept for every row."""
     signed = materialise(sign(docs, size), "dup-signed")
+    live = signed.filter("n_shingles > 0")
     # Written, so that Spark can split the join back to a class of very many copies.
-    classes = materialise(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first")), "dup-classes")
+    classes = materialise(live.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")), "dup-classes")
     # Equal sets have equal bands and sketches; of an id with several texts, the least sketch stands for it.
-    members = signed.filter("n_shingles > 0").groupBy("set_key")
+    members = live.groupBy("set_key")
     banded = members.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).select(F.explode("bands").alias("band"), "id")
     sketches = members.agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).groupBy("id").agg(F.min("sketch").alias("sketch"))
-    banded = shared_bands(banded).join(sketches, "id").select("band", "id", "sketch")
+    banded = shared_bands(banded).join(sketches, "id").select("band", "id", "part", "sketch")
     families = materialise(components(bucket_links(banded)), "dup-families")
 
-    def member_sets(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        ids = rows["doc_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        texts = rows["text"]
-        return ids[order], [shingles(texts[int(i)].as_py(), size) for i in order]
-
     def confirm(rows: pa.Table) -> pa.Table:
-        ids, sets = member_sets(rows)
-        roots = confirmed_groups(sets, percent).roots()
+        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+        ids = rows["doc_id"].to_numpy()[order]
+        roots = confirmed_groups(_sets(rows, order, size), percent).roots()
         return pa.table({"family": pa.array(np.full(len(ids), rows["family"][0].as_py())), "id": pa.array(ids), "root": pa.array(ids[roots])})
 
     member = families.withColumnRenamed("node", "id").withColumnRenamed("root", "family")
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member, F.col("doc_id") == F.col("id"))
+    texts = docs.select(named(docs), "text")
     # A doc_id that occurs twice with different texts is met with each of them.
-    blocks = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    texts = texts.join(blocks, "family").withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")))
-    local = materialise(texts.select("family", "block", "blocks", "doc_id", "text").groupBy("family", "block").applyInArrow(confirm, "family long, id long, root long"), "dup-local")
+    counted = member.join(classes.groupBy(F.col("first").alias("id")).agg(F.sum("n").alias("n")), "id").groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    blocks = materialise(counted, "dup-blocks")
+    # Written, so that its size is known and texts are shuffled only where it is too large to broadcast.
+    dealt = materialise(member.join(blocks, "family").select("id", "family", F.pmod(F.hash("id"), F.col("blocks")).alias("block")), "dup-dealt")
+    own = texts.join(dealt, F.col("doc_id") == F.col("id")).select("family", "block", "doc_id", "text")
+    local = materialise(own.groupBy("family", "block").applyInArrow(confirm, "family long, id long, root long"), "dup-local")
     links = local.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    if large := [r["family"] for r in blocks.filter("blocks > 1").select("family").limit(1).collect()]:
-        links = links.unionByName(_across(docs, local, blocks, size, percent))
+    if large := bool(blocks.filter("blocks > 1").limit(1).collect()):
+        links = links.unionByName(_across(texts, local, blocks, size, percent))
     joined = components(links.filter("a <> b").distinct()) if large else local.filter("id <> root").select(F.col("id").alias("node"), "root")
-    keyed = signed.join(classes, "set_key", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    keyed = signed.join(classes.select("set_key", "first"), "set_key", "left").withColumn("first", F.coalesce("first", "doc_id"))
     out = keyed.join(joined.filter("node <> root").groupBy("node").agg(F.min("root").alias("root")), F.col("first") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "first"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    nulls = docs.filter(F.col("doc_id").isNull()).select(named(docs)).distinct()
+    if nulls.isEmpty():
+        return out
+    for column in ("component_id", "doc_id"):  # the stand-ins are null again
+        out = out.join(nulls.select(F.col("doc_id").alias(column), F.lit(True).alias(f"no_{column}")), column, "left")
+    return out.select(*[F.when(F.col(f"no_{c}").isNull(), F.col(c)).alias(c) for c in ("doc_id",)], "n_shingles", F.when(F.col("no_component_id").isNull(), F.col("component_id")).alias("component_id"), "kept")
 
 
-def _across(docs: DataFrame, local: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(texts: DataFrame, local: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the block groups of families of several blocks.
 
-    The least members of a family's groups are met first, in one task; only
-    members of groups still apart from the family's largest group then meet all
-    others, in pairs of blocks.
+    The least members of a family's groups are met first, in blocks, which joins
+    most that belongs together; only members of groups still apart from the
+    family's largest group then meet all others, in pairs of blocks.
     """
     many = local.join(blocks.filter("blocks > 1"), "family")
-    heads = many.groupBy("family", "root").agg(F.count("*").alias("n"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = many.groupBy("family", "root").agg(F.count("*").alias("n"))
+    head_blocks = groups.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("head_blocks"))
+    heads = groups.join(head_blocks, "family").withColumn("block", F.pmod(F.hash("root"), F.col("head_blocks")))
 
     def meet_heads(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows["root"].to_numpy(), kind="stable")
         ids, n = rows["root"].to_numpy()[order], rows["n"].to_numpy()[order]
-        sets = [shingles(rows["text"][int(i)].as_py(), size) for i in order]
-        roots = confirmed_groups(sets, percent).roots()
-        weight = np.bincount(roots, n, minlength=len(ids))
-        return pa.table({"family": pa.array(np.full(len(ids), rows["family"][0].as_py())), "root": pa.array(ids), "head": pa.array(ids[roots]), "main": pa.array(roots == int(np.argmax(weight)))})
+        roots = confirmed_groups(_sets(rows, order, size), percent).roots()
+        return pa.table({"family": pa.array(np.full(len(ids), rows["family"][0].as_py())), "root": pa.array(ids), "head": pa.array(ids[roots]), "n": pa.array(n)})
 
-    met = materialise(heads.join(text, F.col("root") == F.col("doc_id")).select("family", "root", "n", "text").groupBy("family").applyInArrow(meet_heads, "family long, root long, head long, main boolean"), "dup-heads")
+    met = materialise(heads.join(texts, F.col("root") == F.col("doc_id")).select("family", "block", "root", "n", "text").groupBy("family", "block").applyInArrow(meet_heads, "family long, root long, head long, n long"), "dup-heads")
     found = met.select(F.col("root").alias("a"), F.col("head").alias("b"))
-    sided = many.join(met.drop("family"), "root").select("family", "id", "head", "main", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("block"))
+    largest = met.groupBy("family", "head").agg(F.sum("n").alias("n")).groupBy("family").agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("top")).select("family", (-F.col("top.h")).alias("largest"))
+    sided = many.join(met.select("root", "head").distinct(), "root").join(largest, "family").select("family", "id", "head", (F.col("head") == F.col("largest")).alias("main"), "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("block"))
     strays = sided.filter(~F.col("main"))
     stray_blocks = strays.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("stray_blocks"))
     sided = sided.join(stray_blocks, "family")
@@ -361,11 +427,10 @@ def _across(docs: DataFrame, local: DataFrame, blocks: DataFrame, size: int, per
         forest, first = Forest(len(ids)), {}
         for i, h in enumerate(heads_.tolist()):
             forest.join(first.setdefault(h, i), i)
-        sets = [shingles(rows["text"][int(i)].as_py(), size) for i in order]
-        roots = confirmed_groups(sets, percent, forest, int(side.sum())).roots()
+        roots = confirmed_groups(_sets(rows, order, size), percent, forest, int(side.sum())).roots()
         return pa.table({"a": pa.array(ids), "b": pa.array(ids[roots])})
 
-    crossed = spread.join(text, F.col("id") == F.col("doc_id")).select("family", "id", "head", "x", "y", "stray", "text").groupBy("family", "x", "y").applyInArrow(meet, "a long, b long")
+    crossed = spread.join(texts, F.col("id") == F.col("doc_id")).select("family", "id", "head", "x", "y", "stray", "text").groupBy("family", "x", "y").applyInArrow(meet, "a long, b long")
     return found.unionByName(crossed)
 
 
@@ -374,10 +439,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
     Rows are told apart by a key of their own, so ids may repeat or be null.
     """
-    columns = docs.columns
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "dup-rows")
-    marks = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), size, percent)
-    ids = rows.select(F.col("_row").alias("_kept_row"), F.col("doc_id").alias("_id"))
-    grouped = marks.join(ids, F.col("doc_id") == F.col("_kept_row")).groupBy("component_id")
-    kept = grouped.agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_kept_row"))["_kept_row"].alias("_kept_row"))
-    return rows.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(*columns)
+    row, kept_row, doc_id = fresh(docs.columns, "row", "kept_row", "id")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "dup-rows")
+    marks = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), size, percent)
+    ids = rows.select(F.col(row).alias(kept_row), F.col("doc_id").alias(doc_id))
+    grouped = marks.join(ids, F.col("doc_id") == F.col(kept_row)).groupBy("component_id")
+    kept = grouped.agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, kept_row))[kept_row].alias(kept_row))
+    return rows.join(kept, F.col(row) == F.col(kept_row), "left_semi").select(*docs.columns)
