@@ -8,7 +8,8 @@ its share of the greatest possible difference.
 
 ``neighbours`` pairs every document with the next one in falling doc_id order
 without a global window: rows are dealt to key ranges, and the first row of each
-range also goes to the range above it.
+range also goes to the range above it. Ranges hold about equal counts: an id of
+very many rows, or the null one, spans several, parted by text hash.
 
 Defined results: null text counts as empty; all empty texts share one digest;
 equal ids are ordered by text hash, null ids come last; the last document's next
@@ -23,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,37 +89,39 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, n: int) -> tuple[list[int], dict[int, int]]:
-    """Bounds of about n equal ranges of doc_id, and each non-empty range's greatest key."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
-    bounds = sorted(set(bounds))
-    tops = docs.select(key.alias("k")).groupBy(_range_of(F.col("k"), bounds).alias("r")).agg(F.max("k").alias("top")).collect()
-    return bounds, {r["r"]: r["top"] for r in tops}
-
-
-def _range_of(key, bounds: list[int]):
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key))
+def _range_of(keys: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each key among those that it spans; smaller hashes come first, so in the upper ones."""
+    low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    share = (hashes.astype(np.float64) + 2.0**63) / 2.0**64
+    return high - np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """Digest rows of every document, its edited text and the next document."""
-    n = max(2, min(2000, 2 * docs.rdd.getNumPartitions()))
-    bounds, tops = _ranges(docs, n)
-    used = sorted(tops)
+    n = max(2, 2 * docs.rdd.getNumPartitions())
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"))
+    bounds = np.array(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or [], np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_range_of(k.to_numpy(), h.to_numpy(), bounds))
+
+    # A row for each range: its first row's key and hash.
+    firsts = rows.groupBy(range_of("k", "h").alias("r")).agg(F.max(F.struct("k", F.bitwise_not("h").alias("h"))).alias("first")).collect()
+    first = {r["r"]: (r["first"]["k"], ~r["first"]["h"]) for r in firsts}
+    used = sorted(first)
     above = {r: used[(i + 1) % len(used)] for i, r in enumerate(used)}
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("k")).withColumn("r", _range_of(F.col("k"), bounds))
-    own = F.struct(F.col("r"), F.lit(False).alias("tail"))
-    if used:
-        to = F.element_at(F.array(*[F.lit(above.get(i, 0)) for i in range(len(bounds) + 1)]), F.col("r") + 1)
-        places = F.when(F.col("k").isin(list(tops.values())), F.array(own, F.struct(to.alias("r"), F.lit(True).alias("tail")))).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    rows = rows.withColumn("p", F.explode(places)).select("doc_id", "text", "k", F.col("p.r").alias("r"), F.col("p.tail").alias("tail"))
-    rows = rows.repartitionById(len(bounds) + 1, "r").sortWithinPartitions("r", "tail", F.desc("k"), F.xxhash64("text"))
+
+    @F.pandas_udf("array<int>")
+    def places(k: pd.Series, h: pd.Series) -> pd.Series:
+        """Twice the row's own range; for a range's first row also twice the range above, and one."""
+        k, h = k.to_numpy(), h.to_numpy()
+        own = _range_of(k, h, bounds)
+        return pd.Series([[2 * r, 2 * above[r] + 1] if first[r] == key else [2 * r] for r, key in zip(own.tolist(), zip(k.tolist(), h.tolist()))])
+
+    rows = rows.withColumn("p", F.explode(places("k", "h"))).select("doc_id", "text", "k", "h", F.shiftright("p", 1).alias("r"), (F.col("p") % 2 == 1).alias("tail"))
+    rows = rows.repartitionById(n, "r").sortWithinPartitions("r", "tail", F.desc("k"), "h")
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
