@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import id_crc
+from corpusmill.llm.common import fresh, id_crc
 
 VOCABULARY = "piece_bpe_32k.model"
 DOCS_PER_LANG = 500
@@ -38,7 +38,8 @@ WORD = 48
 #: Words of evidence after which a text's posterior grows no sharper.
 EVIDENCE = 10
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters are Unicode's category L: word characters but for the underscore and numerals of any kind.
+_LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
 _CACHE = 200_000
 #: Numbers that a forward pass holds at most; code points of texts that are scored together.
 _CELLS, RUN = 1 << 22, 2_000_000
@@ -130,7 +131,10 @@ class Scorer:
         self.piece = np.array(self.piece)
         self.edges = np.array(sorted(edges), np.int64)
         self.targets = np.array([edges[e] for e in self.edges.tolist()], np.int64)
-        self.odds = np.array([*model.table.values(), model.floors], np.float64).reshape(len(model.table) + 1, len(model.floors))
+        odds = np.array([*model.table.values(), model.floors], np.float64).reshape(len(model.table) + 1, len(model.floors))
+        # Each sign lifts a probability by the root of the rarest's inverse, so that long words of rare signs do not underflow.
+        self.lift = -0.5 * math.log(max(min(model.floors, default=1.0), 1e-12))
+        self.odds = odds * np.exp(self.lift * np.array([*map(len, model.table), 1]))[:, None]
         self._reset()
 
     def _reset(self) -> None:
@@ -138,7 +142,11 @@ class Scorer:
         self.logs = np.zeros((1 << 12, len(self.model.floors)))
 
     def forward(self, found: list[str]) -> np.ndarray:
-        """Per word and language, the probability summed over all segmentations: position by position, all words at once."""
+        """Per word and language, the probability summed over all segmentations; 0 where too small for a float."""
+        return np.exp(self.log_forward(found))
+
+    def log_forward(self, found: list[str]) -> np.ndarray:
+        """Per word and language, the log of the probability summed over all segmentations: position by position, all words at once."""
         rest, longest = len(self.odds) - 1, min(self.model.longest, WORD + 1)
         lengths = np.array([len(w) + 1 for w in found])
         signs = np.frombuffer("".join(["▁" + w for w in found]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -177,7 +185,7 @@ class Scorer:
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # a word has one edge of a length that ends at a position
             i, d = divmod(int(code[lo]), longest + 1)
             alpha[i, at[lo:hi]] += alpha[i - d, at[lo:hi]] * self.odds[piece[lo:hi]]
-        return alpha[lengths, np.arange(len(found))]
+        return np.log(np.maximum(alpha[lengths, np.arange(len(found))], 1e-300)) - self.lift * lengths[:, None]
 
     def _learn(self, new: set[str]) -> None:
         if len(self.rows) > _CACHE:
@@ -187,7 +195,7 @@ class Scorer:
         order, most = list(new), max(64, _CELLS // ((WORD + 2) * self.odds.shape[1]))
         for k in range(0, len(order), most):
             part = order[k : k + most]
-            self.logs[len(self.rows) : len(self.rows) + len(part)] = np.log(np.maximum(self.forward(part), 1e-300))
+            self.logs[len(self.rows) : len(self.rows) + len(part)] = self.log_forward(part)
             self.rows.update(zip(part, range(len(self.rows), len(self.rows) + len(part))))
 
     def _score(self, found: list[str]) -> tuple[str, float]:
@@ -268,10 +276,9 @@ def train(docs: DataFrame, usable: Column, vocabulary: str = VOCABULARY, docs_pe
 _scorers: dict[int, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns and two more: the predicted language and its posterior. No column of docs may have their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -282,12 +289,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = score.many(t.as_py() for t in batch.column("text"))
             out = dict(zip(batch.schema.names, batch.columns))
-            out["lang_pred"] = pa.array([x[0] for x in found], pa.string())
-            out["score"] = pa.array([x[1] for x in found], pa.float64())
+            out[names[0]] = pa.array([x[0] for x in found], pa.string())
+            out[names[1]] = pa.array([x[1] for x in found], pa.float64())
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
@@ -298,6 +305,7 @@ def identify(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those of no recognised language: no letters, or a posterior under least."""
-    columns = docs.columns
-    return predict(docs, train(docs, F.lit(True))).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    """docs without those of no recognised language: no letters, or a posterior under least. Null ids and repeated rows stay."""
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = predict(docs, train(docs, F.lit(True)), (lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
