@@ -95,6 +95,17 @@ class Counter:
         return used, np.log1p(counts[used] * (100.0 / n)).astype(np.float32)
 
 
+def nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k greatest; of equals the first. In the order of the columns."""
+    if k == sims.shape[1]:
+        return np.tile(np.arange(k), (len(sims), 1))
+    least = np.partition(sims, -k, axis=1)[:, -k, None]
+    over, level = sims > least, sims == least
+    for row in np.flatnonzero((over | level).sum(1) > k):
+        level[row, np.flatnonzero(level[row])[k - int(over[row].sum()) :]] = False
+    return np.nonzero(over | level)[1].reshape(-1, k)
+
+
 class Space:
     """The latent space and the labelled vectors in it."""
 
@@ -111,13 +122,14 @@ class Space:
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-12)
 
     def vote(self, points: np.ndarray, neighbours: int = NEIGHBOURS, block: int = 512) -> np.ndarray:
-        """Exact cosines to all labelled vectors, a block of documents at a time."""
+        """Exact cosines to all labelled vectors, a block of documents at a time; rounded, so that they do not depend on the block."""
         scores = np.full(len(points), self.prior)
+        points, labelled = points.astype(np.float64), self.vectors.T.astype(np.float64)
         k = min(neighbours, len(self.labels))
         for at in range(0, len(points) if k else 0, block):
-            sims = points[at : at + block] @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(sims), 1))
-            weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** 4
+            sims = np.round(points[at : at + block] @ labelled, 9)
+            near = nearest(sims, k)
+            weight = np.maximum(np.take_along_axis(sims, near, 1), 0) ** 4
             total = weight.sum(1)
             some = (total > 0) & points[at : at + block].any(1)
             mean = (weight * self.labels[near]).sum(1)
