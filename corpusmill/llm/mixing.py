@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import fresh, materialise
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -61,28 +61,42 @@ def shared_targets(sizes: list[float], weights: list[float], budget: float, most
 def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that their words come nearest to the budget.
 
-    Every length first gives the same fraction, rounded down. What remains of
-    the budget is met by a bounded knapsack over reachable sums held as bits of
-    an integer, counts split into powers of two.
+    Every length first gives the same fraction of a share of the budget, rounded
+    down, so that the mix keeps the source's lengths. A bounded knapsack over
+    reachable sums, held as bits of an integer, counts split into powers of two,
+    then finds the nearest sum to what is left. Where that is not the budget
+    itself, more is left to it, at last all of a budget of up to DP_BUDGET: then no
+    subset is nearer.
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget <= 0 or total == 0:
         return [0] * len(lengths)
     if budget >= total:
         return list(counts)
-    taken = [c * budget // total if n else 0 for n, c in zip(lengths, counts)]
+    best, off = [], total
+    for left in (0, min(budget, DP_BUDGET) // 8, min(budget, DP_BUDGET)):
+        taken = _fit(lengths, counts, budget, [c * (budget - left) // total if n else 0 for n, c in zip(lengths, counts)])
+        if (now := abs(budget - sum(n * t for n, t in zip(lengths, taken)))) < off:
+            best, off = taken, now
+        if not off:
+            break
+    return best
+
+
+def _fit(lengths: list[int], counts: list[int], budget: int, taken: list[int]) -> list[int]:
+    """taken, and the documents beside them whose words come nearest to the rest of the budget."""
     left = budget - sum(n * t for n, t in zip(lengths, taken))
     order = sorted((i for i in range(len(lengths)) if lengths[i]), key=lambda i: -lengths[i])
-    for i in order:  # long ones first, down to what the programme takes
+    for i in order:  # what rounding down left over, long ones first
         k = min(counts[i] - taken[i], max(0, left - DP_BUDGET) // lengths[i])
         taken[i] += k
         left -= k * lengths[i]
-    longest = max(lengths)
-    limit = (1 << (left + longest + 1)) - 1
+    most = left + min(left, max(lengths))  # no sum beyond is nearer than none, or than one document less
+    limit = (1 << (most + 1)) - 1
     items, reach, states = [], 1, [1]
     for i in sorted(order, key=lambda i: lengths[i]):
-        spare, k = min(counts[i] - taken[i], (left + longest) // lengths[i]), 1
-        while spare > 0:
+        spare, k = min(counts[i] - taken[i], most // lengths[i]), 1
+        while spare > 0 and not reach >> left & 1:
             k = min(k, spare)
             grown = (reach | reach << (lengths[i] * k)) & limit
             if grown != reach:
@@ -91,9 +105,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int) -> list[int]:
                 reach = grown
             spare -= k
             k *= 2
-        if reach >> left & 1:
-            break
-    best = next(s for d in range(left + longest + 1) for s in (left - d, left + d) if s >= 0 and reach >> s & 1)
+    below = (reach & ((2 << left) - 1)).bit_length() - 1
+    above = reach >> left
+    above = left + (above & -above).bit_length() - 1 if above else most + left + 1
+    best = below if left - below <= above - left else above
     for (i, k), before in zip(reversed(items), reversed(states[:-1])):
         if not before >> best & 1:
             taken[i] += k
@@ -144,7 +159,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
 
 
 def apply_mix(docs: DataFrame, planned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with each row as often as the plan takes it; rows with one key share one decision."""
-    times = planned.filter(F.col("taken") > 0).groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("mix_times"))
-    kept = docs.alias("d").join(times.alias("t"), F.col(f"d.{key}") == F.col(f"t.{key}")).select("d.*", F.col("t.mix_times"))
-    return kept.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).drop("mix_times")
+    """docs with each row as often as the plan takes it; rows with one key (null is one) share one decision, the greatest."""
+    (times,) = fresh(docs.columns, "mix_times")
+    factor = planned.filter(F.col("taken") > 0).groupBy(key).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias(times))
+    kept = docs.alias("d").join(factor.alias("t"), F.col(f"d.{key}").eqNullSafe(F.col(f"t.{key}"))).select("d.*", F.col(f"t.{times}"))
+    return kept.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(times)
