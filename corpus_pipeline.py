@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import langid, mixing, neardup, packing, secretscan
-from corpusmill.llm.common import materialise
+from corpusmill.llm.common import fresh, materialise, remove, scope, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay."""
+    """Documents whose language is recognised stay, repeated rows and null ids too; null texts and texts without letters go."""
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group stays: five-word shingles, similarity 0.8 or more. Repeated rows are one group; wordless texts all stay."""
     return neardup.drop_near_duplicates(docs, size=5, percent=80)
 
 
@@ -25,9 +25,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as its source's target takes it, up to twice."""
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")  # ids may repeat or be null
-    return mixing.apply_mix(rows, mixing.plan(rows, key="_row"), "_row").select(*docs.columns)
+    """Each row as often as its source's target takes it, up to twice; rows are told apart by a key of their own, so ids may repeat or be null."""
+    (row,) = fresh(docs.columns, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    return mixing.apply_mix(rows, mixing.plan(rows, key=row), row).select(*docs.columns)
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each written to the shared folder and read again; what a stage leaves there goes when its output is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scope(spark):
+            docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", kept=True)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
