@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\x0B\f\r]"
 TOKEN = r"[a-zA-Z_][a-zA-Z0-9_]*|[^ \t\n\x0B\f\r\p{L}\p{N}_]"
 _DOUBLE, _SINGLE = r'"[^"\\]*(?:\\[^\n][^"\\]*)*"', r"'[^'\\]*(?:\\[^\n][^'\\]*)*'"
+_COMMENTS = (r"//[^\n]*", r"/\*[\s\S]*?\*/", r"#[^\n]*")
+#: Plain forms, for engines of any kind.
 LITERALS = (r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", _DOUBLE, _SINGLE)
-COMMENT_OR_STRING = "|".join([*LITERALS, r"//[^\n]*", r"/\*[\s\S]*?\*/", r"#[^\n]*"])
+COMMENT_OR_STRING = "|".join([*LITERALS, *_COMMENTS])
+#: The same with possessive loops: what they pass never ends a literal, and Java then loops where it would call itself for each escape.
+_LOOPED = tuple(p.replace(")*", ")*+") for p in LITERALS)
+_LOOPED_COMMENT_OR_STRING = "|".join([*_LOOPED, *_COMMENTS])
 
 
 def code_tokens(text: Column) -> Column:
     """Identifiers and single signs; string literals become STR; digits and non-ASCII letters give none."""
     t = F.regexp_replace(text, SPACE + "+", " ")
-    for pattern in LITERALS:
+    for pattern in _LOOPED:
         t = F.regexp_replace(t, pattern, "STR")
     return F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
 
@@ -45,7 +50,7 @@ def clean_indentation(snippet: Column) -> Column:
 
 
 def strip_comments_and_strings(text: Column) -> Column:
-    return F.regexp_replace(text, COMMENT_OR_STRING, " ")
+    return F.regexp_replace(text, _LOOPED_COMMENT_OR_STRING, " ")
 
 
 def clean_block_comment(raw: Column) -> Column:
@@ -79,9 +84,13 @@ def slug(name: Column) -> Column:
 
 def used_imports(imports: Column, code: Column) -> Column:
     """Statements of array<struct<stmt,names>> whose name occurs in stripped code as a word not after a dot; wildcards always."""
-    stripped = strip_comments_and_strings(code)
-    hit = lambda n: (n == "*") | F.rlike(stripped, F.concat(F.lit(r"(?<![\w.])\Q"), n, F.lit(r"\E(?!\w)")))
-    return F.array_distinct(F.transform(F.filter(imports, lambda i: F.exists(i["names"], hit)), lambda i: i["stmt"]))
+
+    def used(stripped: Column) -> Column:
+        hit = lambda n: (n == "*") | F.rlike(stripped, F.concat(F.lit(r"(?<![\w.])\Q"), n, F.lit(r"\E(?!\w)")))
+        return F.array_distinct(F.transform(F.filter(imports, lambda i: F.exists(i["names"], hit)), lambda i: i["stmt"]))
+
+    # An array of one, so that the code is stripped once, not for each name.
+    return F.get(F.transform(F.array(strip_comments_and_strings(code)), used), F.lit(0))
 
 
 def redact(message: Column, secret: Column) -> Column:

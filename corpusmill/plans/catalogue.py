@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill import config, sinks
 from corpusmill.functions import metrics, text
 from corpusmill.operators import allocation, cleaning, dedup, discovery, evaluation, extraction, manifests, quality, scoring, testsuite
-from corpusmill.sources import files
+from corpusmill.plans import build, datasets
+from corpusmill.sources import files, remote
 from corpusmill.streaming import paging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,15 +198,17 @@ def repo_metadata(t: _Reader) -> DataFrame:
 
 @query("default_end_date", "SELECT o_orderkey, DATE '1998-08-31' - 30 AS end_date, CAST(o_orderdate AS DATE) <= DATE '1998-08-31' - 30 AS covered FROM orders")
 def default_end_date(t: _Reader) -> DataFrame:
-    end = F.date_sub(F.lit(date(1998, 8, 31)), 30)
+    end = F.lit(config.default_end(date(1998, 8, 31)))
     return t("orders").select("o_orderkey", end.alias("end_date"), (F.to_date("o_orderdate") <= end).alias("covered"))
 
 
 @query("api_plan", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, greatest(1, CAST(ceil(n * 40 / 100.0) AS BIGINT)) AS pages, greatest(1, CAST(ceil(n * 40 / 100.0) AS BIGINT)) + 1 AS calls, (n * 40) // 5 AS repos FROM c")
 def api_plan(t: _Reader) -> DataFrame:
-    n = F.col("n") * 40
-    pages = F.greatest(F.lit(1), F.ceil(n / 100)).cast("long")
-    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", pages.alias("pages"), (pages + 1).alias("calls"), F.floor(n / 5).cast("long").alias("repos"))
+    @F.pandas_udf("struct<pages: long, calls: long, repos: long>")
+    def planned(n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"pages": n.map(remote.contributor_pages), "calls": n.map(remote.calls_for_repo), "repos": n.map(remote.estimate_repos)})
+
+    return t("orders").groupBy("o_custkey").agg((F.count("*") * 40).alias("n")).select("o_custkey", planned("n").alias("p")).select("o_custkey", "p.pages", "p.calls", "p.repos")
 
 
 # ---------------------------------------------------------------- engineered filter
@@ -366,10 +371,10 @@ def duration_text(t: _Reader) -> DataFrame:
     return t("events").select("event_id", text.duration_text(F.abs("value") * 97).alias("took"))
 
 
-@query("prompts", "SELECT conv_id, turn, 'Write a ' || CASE WHEN turn % 2 = 0 THEN 'function' ELSE 'class' END || ' in ' || role || ':' || chr(10) || left(text, 80) AS prompt FROM conversations")
+@query("prompts", "SELECT conv_id, turn, 'Implement the following ' || role || ' ' || CASE WHEN turn % 2 = 0 THEN 'function' ELSE 'class' END || '. Reply with code only.' || chr(10) || chr(10) || text AS prompt FROM conversations")
 def prompts(t: _Reader) -> DataFrame:
     kind = F.when(F.col("turn") % 2 == 0, "function").otherwise("class")
-    return t("conversations").select("conv_id", "turn", F.format_string("Write a %s in %s:\n%s", kind, F.col("role"), F.left("text", F.lit(80))).alias("prompt"))
+    return t("conversations").select("conv_id", "turn", cleaning.prompts(F.col("role"), kind, F.col("text")).alias("prompt"))
 
 
 @query("redact", "SELECT conv_id, turn, md5(replace(text, substr(text, 1, 3), '***')) AS shown FROM conversations")
@@ -448,32 +453,16 @@ def dedup_by_key(t: _Reader) -> DataFrame:
 # ---------------------------------------------------------------- joins and lookups
 
 
-@query("contamination_semi", "SELECT d.doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(text, 1, 40) AS k FROM benchmark) b WHERE b.k = substr(d.text, 1, 40)) OR d.source IN (SELECT DISTINCT 'src' || (item_id % 3) FROM benchmark)")
+@query("contamination_semi", "SELECT d.doc_id FROM documents d WHERE d.text IN (SELECT text FROM benchmark WHERE text IS NOT NULL) OR d.source IN (SELECT 'src' || (item_id % 3) FROM benchmark)")
 def contamination_semi(t: _Reader) -> DataFrame:
-    marks = t("benchmark").select(F.substr("text", F.lit(1), F.lit(40)).alias("k")).distinct()
-    sources = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source")).distinct()
-    docs = t("documents").select("doc_id", "source", F.substr("text", F.lit(1), F.lit(40)).alias("k"))
-    return docs.join(marks, "k", "left_semi").select("doc_id").unionByName(docs.join(sources, "source", "left_semi").select("doc_id")).distinct()
-
-
-@query("lookup_first", "SELECT l.doc_id, f.first_id FROM labels l JOIN documents d USING (doc_id) JOIN (SELECT substr(text, 1, 12) AS sig, min(doc_id) AS first_id FROM documents GROUP BY 1) f ON f.sig = substr(d.text, 1, 12)")
-def lookup_first(t: _Reader) -> DataFrame:
-    docs = t("documents").select("doc_id", F.substr("text", F.lit(1), F.lit(12)).alias("sig"))
-    return t("labels").select("doc_id").join(docs, "doc_id").join(docs.groupBy("sig").agg(F.min("doc_id").alias("first_id")), "sig").select("doc_id", "first_id")
-
-
-@query("contamination_whole", "SELECT d.doc_id FROM documents d WHERE d.text IN (SELECT text FROM benchmark WHERE text IS NOT NULL) OR d.source IN (SELECT 'src' || (item_id % 3) FROM benchmark)")
-def contamination_whole(t: _Reader) -> DataFrame:
-    """As contamination_semi, by whole texts."""
     marks = t("benchmark").select(F.sha2("text", 256).alias("k")).distinct()
     sources = t("benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 3).cast("string")).alias("source")).distinct()
     docs = t("documents").select("doc_id", "source", F.sha2("text", 256).alias("k"))
     return docs.join(marks, "k", "left_semi").select("doc_id").unionByName(docs.join(sources, "source", "left_semi").select("doc_id")).distinct()
 
 
-@query("lookup_first_whole", "SELECT l.doc_id, f.first_id FROM labels l JOIN documents d USING (doc_id) JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY 1) f ON f.text = d.text")
-def lookup_first_whole(t: _Reader) -> DataFrame:
-    """As lookup_first, by whole texts."""
+@query("lookup_first", "SELECT l.doc_id, f.first_id FROM labels l JOIN documents d USING (doc_id) JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY 1) f ON f.text = d.text")
+def lookup_first(t: _Reader) -> DataFrame:
     docs = t("documents").select("doc_id", F.sha2("text", 256).alias("sig"))
     return t("labels").select("doc_id").join(docs, "doc_id").join(docs.groupBy("sig").agg(F.min("doc_id").alias("first_id")), "sig").select("doc_id", "first_id")
 
@@ -488,10 +477,10 @@ def quality_lookup(t: _Reader) -> DataFrame:
     return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("response_join", "SELECT a.conv_id, a.turn, 'req-' || a.turn AS custom_id, length(b.text) AS response_chars FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user' AND a.turn >= 0 AND a.turn < 6")
+@query("response_join", "SELECT a.conv_id, a.turn, 'req-' || a.turn AS custom_id, length(b.text) AS response_chars FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' WHERE a.role = 'user'")
 def response_join(t: _Reader) -> DataFrame:
     c = t("conversations")
-    asked = c.filter((F.col("role") == "user") & F.col("turn").between(0, 5)).select("conv_id", "turn", F.concat(F.lit("req-"), F.col("turn").cast("string")).alias("custom_id"))
+    asked = c.filter(F.col("role") == "user").select("conv_id", "turn", F.concat(F.lit("req-"), F.col("turn").cast("string")).alias("custom_id"))
     answered = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("response_chars"))
     return asked.join(answered, ["conv_id", "turn"], "left")
 
@@ -516,11 +505,13 @@ def anti_rows(t: _Reader) -> DataFrame:
 # ---------------------------------------------------------------- aggregations
 
 
-@query("repo_stats", "SELECT d.source AS repo, count(*) AS functions, count(l.doc_id) AS classes, coalesce(max(CASE WHEN d.source <> 'src2' THEN d.lang END), 'Unknown') AS license FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+@query("repo_stats", "SELECT d.source AS repo, count(*) AS functions, count(l.doc_id) AS classes, coalesce(max(CASE WHEN d.source <> 'src2' THEN d.lang END), 'Unknown') AS license, false AS test_suite_present, 'none' AS confidence FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE d.source IS NOT NULL GROUP BY 1")
 def repo_stats(t: _Reader) -> DataFrame:
-    marked = t("labels").select("doc_id", F.lit(1).alias("m")).distinct()
-    rows = _documents(t).select("doc_id", "repo", "lang").join(marked, "doc_id", "left")
-    return rows.groupBy("repo").agg(F.count("*").alias("functions"), F.count("m").alias("classes"), F.coalesce(F.max(F.when(F.col("repo") != "src2", F.col("lang"))), F.lit("Unknown")).alias("license"))
+    rows = _documents(t).select("doc_id", "repo", "lang")
+    places = rows.filter("repo IS NOT NULL").groupBy(F.col("repo").alias("full_name")).agg(F.max(F.when(F.col("repo") != "src2", F.col("lang"))).alias("license_spdx")).withColumns({c: F.lit(0) for c in ("place", "stars", "contributors")})
+    marked = rows.join(t("labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    tests = testsuite.detect(_tree(t, "'README'", "''"), "Python")
+    return build.repo_stats(places, rows, marked, tests).select("repo", "functions", "classes", "license", "test_suite_present", "confidence")
 
 
 @query("top_repos", "SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 10")
@@ -573,20 +564,22 @@ def class_balance(t: _Reader) -> DataFrame:
     return evaluation.class_balance(t("labels"), "quality")
 
 
-@query("qa_counts", r"SELECT count(*) FILTER (WHERE text IS NULL) AS nulls, count(*) FILTER (WHERE NOT regexp_matches(text, '[^ \t\n\x0B\f\r]')) AS empties, count(*) FILTER (WHERE length(text) < 60) AS shorts FROM documents")
+@query("qa_counts", r"WITH p AS (SELECT text, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS bare FROM documents) SELECT count(*) FILTER (WHERE text IS NULL) AS missing, count(*) FILTER (WHERE bare = '') AS blank, count(*) FILTER (WHERE bare <> '' AND length(bare) < 10) AS short FROM p")
 def qa_counts(t: _Reader) -> DataFrame:
-    return t("documents").agg(F.count_if(F.col("text").isNull()).alias("nulls"), F.count_if(text.blank(F.col("text"))).alias("empties"), F.count_if(F.length("text") < 60).alias("shorts"))
+    return datasets.qa_counts(t("documents"), "text")
 
 
-@query("kind_counts", "SELECT source, count(*) FILTER (WHERE doc_id % 3 <> 0) AS functions, count(*) FILTER (WHERE doc_id % 3 = 0) AS classes FROM documents GROUP BY 1")
+@query("kind_counts", "SELECT source, count(*) FILTER (WHERE doc_id % 3 = 1) AS functions, count(*) FILTER (WHERE doc_id % 3 = 0) AS classes FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING functions > 0 AND classes > 0")
 def kind_counts(t: _Reader) -> DataFrame:
-    kind = F.when(F.col("doc_id") % 3 == 0, "class").otherwise("function")
-    return t("documents").select("source", kind.alias("kind")).filter(F.col("kind").isin("function", "class")).groupBy("source").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
+    kind = F.when(F.col("doc_id") % 3 == 0, "class").when(F.col("doc_id") % 3 == 1, "function")
+    rows = t("documents").select("source", kind.alias("kind"))
+    functions, classes = (part(rows).groupBy("source").agg(F.count("*").alias(name)) for part, name in ((extraction.functions, "functions"), (extraction.classes, "classes")))
+    return functions.join(classes, "source")
 
 
-@query("scored_counts", "SELECT count(quality) AS scored, count(*) FILTER (WHERE toxic = 1) AS truncated FROM labels")
+@query("scored_counts", "SELECT count(*) AS n, count(quality) AS scored, count(*) FILTER (WHERE toxic = 1) AS truncated FROM labels")
 def scored_counts(t: _Reader) -> DataFrame:
-    return t("labels").agg(F.count("quality").alias("scored"), F.count_if(F.col("toxic") == 1).alias("truncated"))
+    return sinks.score_totals(t("labels").select(F.col("quality").alias("llm_score"), (F.col("toxic") == 1).alias("llm_score_truncated")))
 
 
 @query("manifest_totals", "SELECT count(DISTINCT source) AS repos, count(*) AS functions, count(DISTINCT lang) AS languages, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
@@ -608,7 +601,7 @@ def signal_confidence(t: _Reader) -> DataFrame:
     kind = F.col("event_type")
     rows = t("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("dirs"), *[F.bool_or(c).cast("long").alias(f"s{i}") for i, c in enumerate((kind == "click", kind == "view", F.col("value") > 50, kind == "purchase"))])
     k = F.col("s0") + F.col("s1") + F.col("s2") + F.col("s3")
-    return rows.select("user_id", "dirs", k.alias("signals"), F.when(k >= 3, "high").when(k == 2, "medium").when(k == 1, "low").otherwise("none").alias("confidence"), (k >= 2).alias("present"))
+    return rows.select("user_id", "dirs", k.alias("signals"), testsuite.confidence(k).alias("confidence"), (k >= 2).alias("present"))
 
 
 # ---------------------------------------------------------------- predicates, paths, JSON, renames
@@ -628,24 +621,12 @@ def path_rules(t: _Reader) -> DataFrame:
     return rows.select("page_id", F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("extension"), F.arrays_overlap(inside, F.array(*[F.lit(x) for x in ("en", "node_modules", "vendor")])).alias("skipped"), name.rlike(r"^(test_|Test)|(_test|\.test|\.spec)\.[a-z]+$").alias("is_test"), (F.lower("path").endswith(".min.js") | F.contains(F.lower("path"), F.lit("node_modules"))).alias("vendored"))
 
 
-@query("file_order", f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), k AS (SELECT page_id, path, len(string_split(path, '/')) AS n, string_split(path, '/') AS parts FROM p) SELECT page_id, row_number() OVER (ORDER BY list_transform(parts, lambda x, i: {{'d': i < n, 'x': x}}), page_id) AS pos FROM k ORDER BY pos LIMIT 100")
+@query("file_order", f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), k AS (SELECT page_id, path, len(string_split(path, '/')) AS n, string_split(path, '/') AS parts FROM p) SELECT page_id, row_number() OVER (ORDER BY list_transform(parts, lambda x, i: {{'d': i < n, 'x': x}}), page_id) AS pos FROM k")
 def file_order(t: _Reader) -> DataFrame:
-    """Files of a directory before its subdirectories, names by code point."""
-    parts = F.split(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/", -1)
-    rows = t("pages").select("page_id", parts.alias("parts"))
-    key = F.transform("parts", lambda x, i: F.struct((i < F.size("parts") - 1).alias("d"), x.alias("x")))
-    first = rows.select("page_id", key.alias("k")).orderBy("k", "page_id").limit(100)
-    return first.select("page_id", F.row_number().over(Window.orderBy("k", "page_id")).cast("long").alias("pos"))
-
-
-@query("file_order_all", f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), k AS (SELECT page_id, path, len(string_split(path, '/')) AS n, string_split(path, '/') AS parts FROM p) SELECT page_id, row_number() OVER (ORDER BY list_transform(parts, lambda x, i: {{'d': i < n, 'x': x}}), page_id) AS pos FROM k")
-def file_order_all(t: _Reader) -> DataFrame:
-    """file_order of every page: places in ranges of the order, and how many pages the ranges before hold."""
-    parts = F.split(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/", -1)
-    rows = t("pages").select("page_id", parts.alias("parts"))
-    key = F.transform("parts", lambda x, i: F.struct((i < F.size("parts") - 1).alias("d"), x.alias("x")))
+    """Files of a directory before its subdirectories: places in ranges of the order, and how many pages the ranges before hold."""
+    rows = t("pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1).alias("path"))
     # The upper bits number the range, the lower 33 the row in it; kept, so that both uses see the same ranges.
-    placed = rows.select("page_id", key.alias("k")).orderBy("k", "page_id").select("page_id", F.monotonically_increasing_id().alias("at")).persist(StorageLevel.DISK_ONLY)
+    placed = rows.select("page_id", files.order_key(F.col("path")).alias("k")).orderBy("k", "page_id").select("page_id", F.monotonically_increasing_id().alias("at")).persist(StorageLevel.DISK_ONLY)
     placed = placed.select("page_id", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = placed.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
@@ -659,9 +640,11 @@ def skip_counts(t: _Reader) -> DataFrame:
     return t("pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), inside.alias("s")).groupBy("host").agg(F.count_if("s").alias("skipped"), F.count("*").alias("files"))
 
 
-@query("garbage_filter", "SELECT p_partkey FROM part WHERE trim(p_brand) NOT IN ('unknown', 'main', 'Brand#11') AND length(p_name) >= 10")
+@query("garbage_filter", "WITH r AS (SELECT p_partkey, p_brand, p_name, CASE WHEN p_size % 7 = 0 THEN ' main ' WHEN p_size % 11 = 0 THEN 'unknown' ELSE p_brand END AS name FROM part) SELECT p_partkey FROM r WHERE p_brand <> 'Brand#11' AND trim(name) NOT IN ('unknown', 'main') AND length(p_name) >= 10")
 def garbage_filter(t: _Reader) -> DataFrame:
-    return t("part").filter(~F.trim("p_brand").isin("unknown", "main", "Brand#11") & (F.length("p_name") >= 10)).select("p_partkey")
+    name = F.when(F.col("p_size") % 7 == 0, " main ").when(F.col("p_size") % 11 == 0, "unknown").otherwise(F.col("p_brand"))
+    rows = t("part").select("p_partkey", F.col("p_brand").alias("repo"), name.alias("name"), "p_name")
+    return datasets.without_garbage(rows, "name", "p_name", ["Brand#11"]).select("p_partkey")
 
 
 @query("blank_filter", r"SELECT doc_id FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^ \t\n\x0B\f\r]')")
@@ -669,37 +652,42 @@ def blank_filter(t: _Reader) -> DataFrame:
     return t("documents").filter(F.col("text").isNotNull() & ~text.blank(F.col("text"))).select("doc_id")
 
 
-@query("renamed_rows", "SELECT source AS repository_name, 'f' || doc_id AS func_path_in_repository, length(text) AS complete_extracted_code_chars, lang AS func_name FROM documents")
+@query("renamed_rows", "SELECT source AS repository_name, 'f' || doc_id AS func_path_in_repository, lang AS func_name, md5(text) AS complete_extracted_code, length(text) AS func_signature FROM documents")
 def renamed_rows(t: _Reader) -> DataFrame:
-    rows = t("documents").select("source", F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("chars"), "lang")
-    return rows.withColumnsRenamed({"source": "repository_name", "path": "func_path_in_repository", "chars": "complete_extracted_code_chars", "lang": "func_name"})
+    rows = t("documents").select(F.col("source").alias("repo"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("file_path"), F.col("lang").alias("func_name"), F.md5(F.col("text").cast("binary")).alias("source_code"), F.length("text").cast("long").alias("signature"))
+    return datasets.converted(rows, datasets.FUNCTION_COLUMNS)
 
 
-@query("training_rows", "SELECT md5(text) AS code_md5, 0 AS label, lang AS language, 'function' AS granularity, 'human' AS model, source AS repository FROM documents UNION ALL SELECT md5(text), 1, 'en', 'class', role, 'none' FROM conversations WHERE role = 'assistant'")
+@query("training_rows", r"SELECT md5(text) AS code_md5, 0 AS label, lang AS language, 'function' AS granularity, 'human' AS model, source AS repository FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]') UNION ALL SELECT md5(text), 1, 'en', 'class', role, NULL FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '[^ \t\n\x0B\f\r]')")
 def training_rows(t: _Reader) -> DataFrame:
-    row = lambda d, label, lang, kind, model, repo: d.select(F.md5(F.col("text").cast("binary")).alias("code_md5"), F.lit(label).alias("label"), lang.alias("language"), F.lit(kind).alias("granularity"), model.alias("model"), repo.alias("repository"))
-    human = row(t("documents"), 0, F.col("lang"), "function", F.lit("human"), F.col("source"))
-    return human.unionByName(row(t("conversations").filter("role = 'assistant'"), 1, F.lit("en"), "class", F.col("role"), F.lit("none")))
+    human = datasets.training_rows(t("documents"), "text", 0, F.col("lang"), "function", "human", "source")
+    made = datasets.training_rows(t("conversations").filter("role = 'assistant'"), "text", 1, "en", "class", F.col("role"))
+    return human.unionByName(made).withColumn("code_md5", F.md5(F.col("code").cast("binary"))).drop("code")
 
 
-@query("array_fields", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS method_count, list_contains(t, 'the') AS has_constructor, array_to_string(t[1:5], ',') AS first_names FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+@query("array_fields", f"SELECT doc_id, CAST(len(t) AS BIGINT) AS method_count, list_contains(t, 'the') AS has_constructor, array_to_string(t, ',') AS names FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
 def array_fields(t: _Reader) -> DataFrame:
     rows = t("documents").select("doc_id", text.code_tokens(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("method_count"), F.exists("t", lambda x: x == "the").alias("has_constructor"), F.array_join(F.slice("t", 1, 5), ",").alias("first_names"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("method_count"), F.exists("t", lambda x: x == "the").alias("has_constructor"), F.array_join("t", ",").alias("names"))
 
 
-@query("json_arrays", f"SELECT doc_id, CAST(to_json(list_filter(t, lambda x: regexp_matches(x, '^[a-zA-Z]'))[1:5]) AS VARCHAR) AS names_json FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+@query("json_arrays", f"SELECT doc_id, CAST(to_json(list_filter(t, lambda x: regexp_matches(x, '^[a-zA-Z]'))) AS VARCHAR) AS names_json FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
 def json_arrays(t: _Reader) -> DataFrame:
     words = F.filter(text.code_tokens(F.col("text")), lambda x: x.rlike("^[a-zA-Z]"))
-    return t("documents").select("doc_id", F.to_json(F.slice(words, 1, 5)).alias("names_json"))
+    return sinks.json_lists(t("documents").select("doc_id", words.alias("names_json")))
 
 
 @query("epoch_and_retry_after", "SELECT event_id, make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS reset_at, CASE WHEN event_id % 4 = 0 THEN NULL ELSE greatest(0.0, round(value, 2) - 20) END AS retry_after FROM events")
 def epoch_and_retry_after(t: _Reader) -> DataFrame:
-    header = F.unix_timestamp("ts").cast("string")
-    reset = F.when(header.rlike("^[0-9]+$"), F.timestamp_seconds(header.cast("long")))
+    @F.pandas_udf("struct<reset: long, after: double>")
+    def read(reset: pd.Series, after: pd.Series) -> pd.DataFrame:
+        headers = [{"X-RateLimit-Reset": r, "Retry-After": a} for r, a in zip(reset, after)]
+        at = [remote.reset_time(h) for h in headers]
+        return pd.DataFrame({"reset": [int(x.timestamp()) if x else None for x in at], "after": [remote.retry_after(h) for h in headers]})
+
     after = F.when(F.col("event_id") % 4 == 0, "soon").otherwise((F.round("value", 2) - 20).cast("string"))
-    return t("events").select("event_id", reset.alias("reset_at"), F.when(after.rlike(r"^-?[0-9.E]+$"), F.greatest(F.lit(0.0), after.try_cast("double"))).alias("retry_after"))
+    rows = t("events").select("event_id", read(F.unix_timestamp("ts").cast("string"), after).alias("r"))
+    return rows.select("event_id", F.timestamp_seconds("r.reset").alias("reset_at"), F.col("r.after").alias("retry_after"))
 
 
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k, len(json_keys(props)) AS n_keys FROM events")

@@ -37,11 +37,16 @@ def balanced(rows: DataFrame, per_repo: int, total: int, key: str, seed: str = "
     return allocation.two_level_cap(rows, "repo", per_repo, total, key, seed)
 
 
-def qa(rows: DataFrame, column: str) -> dict[str, int]:
-    """Rows whose code is missing, blank or short; all must be 0 to pass."""
+def qa_counts(rows: DataFrame, column: str) -> DataFrame:
+    """One row: how many rows' code is missing, blank or short."""
     c = F.col(column)
     bare = plain(c)
-    return rows.agg(F.count_if(c.isNull()).alias("missing"), F.count_if(bare == "").alias("blank"), F.count_if((bare != "") & (F.length(bare) < SHORTEST_CODE)).alias("short")).first().asDict()
+    return rows.agg(F.count_if(c.isNull()).alias("missing"), F.count_if(bare == "").alias("blank"), F.count_if((bare != "") & (F.length(bare) < SHORTEST_CODE)).alias("short"))
+
+
+def qa(rows: DataFrame, column: str) -> dict[str, int]:
+    """Rows whose code is missing, blank or short; all must be 0 to pass."""
+    return qa_counts(rows, column).first().asDict()
 
 
 def balance_and_convert(functions: DataFrame, classes: DataFrame, per_repo: int, total: int, key: str, bad_repos: Sequence[str] = ()) -> dict[str, DataFrame]:
@@ -51,10 +56,10 @@ def balance_and_convert(functions: DataFrame, classes: DataFrame, per_repo: int,
     return {"function": converted(fs, FUNCTION_COLUMNS), "class": converted(cs, CLASS_COLUMNS)}
 
 
-def training_rows(rows: DataFrame, code: str, label: int, language: str, granularity: str, model: str | Column, repository: str | None = None) -> DataFrame:
+def training_rows(rows: DataFrame, code: str, label: int, language: str | Column, granularity: str, model: str | Column, repository: str | None = None) -> DataFrame:
     """The unified schema; rows without code are left out."""
     live = rows.filter(F.col(code).isNotNull() & (plain(F.col(code)) != ""))
-    return live.select(F.col(code).alias("code"), F.lit(label).alias("label"), F.lit(language).alias("language"), F.lit(granularity).alias("granularity"), F.lit(model).alias("model") if isinstance(model, str) else model.alias("model"), (F.col(repository) if repository else F.lit(None).cast("string")).alias("repository"))
+    return live.select(F.col(code).alias("code"), F.lit(label).alias("label"), (F.lit(language) if isinstance(language, str) else language).alias("language"), F.lit(granularity).alias("granularity"), F.lit(model).alias("model") if isinstance(model, str) else model.alias("model"), (F.col(repository) if repository else F.lit(None).cast("string")).alias("repository"))
 
 
 def assembled(parts: Iterable[DataFrame], seed: str = "42") -> DataFrame:

@@ -21,9 +21,12 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 def write_parquet(rows: DataFrame, path: str, lists_as_json: bool = False) -> None:
     """Lists stay lists, or become JSON text; maps stay maps."""
-    if lists_as_json:
-        rows = rows.withColumns({f.name: F.to_json(f.name) for f in rows.schema if isinstance(f.dataType, T.ArrayType)})
-    rows.write.mode("overwrite").parquet(path)
+    (json_lists(rows) if lists_as_json else rows).write.mode("overwrite").parquet(path)
+
+
+def json_lists(rows: DataFrame) -> DataFrame:
+    """rows with every list as JSON text."""
+    return rows.withColumns({f.name: F.to_json(f.name) for f in rows.schema if isinstance(f.dataType, T.ArrayType)})
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -71,11 +74,14 @@ def _plain(value):
     raise TypeError(type(value).__name__)
 
 
-def score_counts(rows: DataFrame) -> dict:
-    """Rows, those with a score, those whose score covers only a first part; one aggregation."""
+def score_totals(rows: DataFrame) -> DataFrame:
+    """One row: the rows, those with a score, those whose score covers only a first part."""
     scored = "llm_score" in rows.columns
-    r = rows.agg(F.count("*").alias("n"), (F.count("llm_score") if scored else F.lit(0)).alias("scored"), (F.count_if("llm_score_truncated") if scored else F.lit(0)).alias("truncated")).first()
-    return r.asDict()
+    return rows.agg(F.count("*").alias("n"), (F.count("llm_score") if scored else F.lit(0)).alias("scored"), (F.count_if("llm_score_truncated") if scored else F.lit(0)).alias("truncated"))
+
+
+def score_counts(rows: DataFrame) -> dict:
+    return score_totals(rows).first().asDict()
 
 
 def export(functions: DataFrame, classes: DataFrame, output_dir: str, export_format: str, config: dict, repos: list[dict], discovery: dict | None = None, extraction: dict | None = None) -> dict[str, str]:

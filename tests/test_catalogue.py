@@ -17,7 +17,7 @@ def shown(rows, names):
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no tables here")
-@pytest.mark.parametrize("name", [n for n in sorted(catalogue.ORACLE_SQL) if n not in ("eval_metrics", "throughput")])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -10,13 +10,13 @@ def test_texts_with_equal_beginnings_differ(spark, tmp_path):
     spark.createDataFrame([(1, start + "two"), (4, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1,), (2,), (3,), (5,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     run = lambda name: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect())
-    assert run("contamination_whole") == [(2,), (4,)]
-    assert run("lookup_first_whole") == [(1, 1), (2, 2), (3, 1)]
+    assert run("contamination_semi") == [(2,), (4,)]
+    assert run("lookup_first") == [(1, 1), (2, 2), (3, 1)]
 
 
 def test_every_page_has_a_position(spark, tmp_path):
     paths = [f"{d}/{i:03}.html" if d else f"{i:03}.html" for i in range(50) for d in ("", "b", "b/c", "a")]
     spark.createDataFrame([(i, f"https://h.org/{p}") for i, p in enumerate(paths)], "page_id long, url string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
     want = sorted(range(200), key=lambda i: ([(k < paths[i].count("/"), x) for k, x in enumerate(paths[i].split("/"))], i))
-    got = {r["page_id"]: r["pos"] for r in catalogue.QUERIES["file_order_all"](spark, str(tmp_path)).collect()}
+    got = {r["page_id"]: r["pos"] for r in catalogue.QUERIES["file_order"](spark, str(tmp_path)).collect()}
     assert got == {i: k + 1 for k, i in enumerate(want)}
