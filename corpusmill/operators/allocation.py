@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def stratified_caps(counts: DataFrame, cap: int, group: str = "repo", count: str
 def first_n(rows: DataFrame, caps: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """rows with pos, their place in the group's order, and cap_rows; groups without a cap are uncapped."""
     pos = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long")
-    return rows.withColumn("pos", pos).join(F.broadcast(caps.select(group, "cap_rows")), group, "left")
+    return rows.withColumn("pos", pos).join(caps.select(group, "cap_rows"), group, "left")
 
 
 def buffered_cap(cap: Column) -> Column:
@@ -58,8 +59,9 @@ def proportional_sample(rows: DataFrame, cap: int, group: str, key: str, seed: s
     q = q.withColumn("_quota", F.expr("(_cap * cnt) div _total")).withColumn("_rest", F.expr("(_cap * cnt) % _total"))
     q = q.withColumn("_short", F.col("_cap") - F.sum("_quota").over(every)).withColumn("_rank", F.row_number().over(every.orderBy(F.desc("_rest"), group)))
     q = q.select(group, (F.col("_quota") + (F.col("_rank") <= F.col("_short")).cast("long")).alias("_take"))
+    # No group gives more than the cap, which Spark applies on both sides of the shuffle; with it no task ranks a whole group.
     rank = F.row_number().over(Window.partitionBy(group).orderBy(draw(seed, key), key))
-    return rows.withColumn("_rn", rank).join(F.broadcast(q), group).filter("_rn <= _take").drop("_rn", "_take")
+    return rows.withColumn("_rn", rank).filter(F.col("_rn") <= cap).join(q, group).filter("_rn <= _take").drop("_rn", "_take")
 
 
 def two_level_cap(rows: DataFrame, group: str, per_group: int, total: int, key: str, seed: str) -> DataFrame:
@@ -75,11 +77,21 @@ def seeded_sample(rows: DataFrame, n: int, keys: Sequence[str], seed: str) -> Da
 
 
 def stratified_split(rows: DataFrame, strata: Sequence[str], key: str, seed: str) -> DataFrame:
-    """rows with split: train, val or test, 80/10/10 within each stratum by seeded order."""
-    w = Window.partitionBy(*strata)
-    df = rows.withColumn("_rn", F.row_number().over(w.orderBy(draw(seed, key), key))).withColumn("_n", F.count("*").over(w))
-    split = F.when(F.col("_rn") * 10 <= F.col("_n") * 8, "train").when(F.col("_rn") * 10 <= F.col("_n") * 9, "val").otherwise("test")
-    return df.withColumn("split", split).drop("_rn", "_n")
+    """rows with split: train, val or test, 80/10/10 within each stratum by seeded order.
+
+    The draw's first three digits part a stratum in 4096 ranges. Counts of ranges
+    tell where the borders lie, so rows are ranked within a range only, and a large
+    stratum is ranked by many tasks.
+    """
+    df = rows.withColumn("_d", draw(seed, key)).withColumn("_r", F.substring("_d", 1, 3))
+    same = lambda a, b, names: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+    ranges = df.groupBy(*strata, "_r").agg(F.count("*").alias("_k"))
+    stratum = Window.partitionBy(*strata)
+    ranges = ranges.withColumn("_n", F.sum("_k").over(stratum)).withColumn("_before", F.sum("_k").over(stratum.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k"))
+    df = df.alias("x").join(ranges.alias("y"), same("x", "y", [*strata, "_r"])).select("x.*", "y._n", "y._before")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*strata, "_r").orderBy("_d", key))
+    split = F.when(place * 10 <= F.col("_n") * 8, "train").when(place * 10 <= F.col("_n") * 9, "val").otherwise("test")
+    return df.withColumn("split", split).drop("_d", "_r", "_n", "_before")
 
 
 def refill(surplus: DataFrame, taken: DataFrame, shortfall: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -1,63 +1,80 @@
 """Greedy keep-first de-duplication, in parallel and with the sequential loop's result.
 
-A row is dropped if an earlier kept row is similar. That is the lexicographically
-first maximal independent set of the similarity graph: in each round a row
-without an undecided or kept earlier neighbour is kept, one with a kept earlier
-neighbour is dropped.
+A row is dropped if an earlier kept row is similar: the lexicographically first
+maximal independent set of the similarity graph. Token sets are sets of 64-bit
+hashes, so that neither shuffles nor comparisons carry strings.
 """
 
 from __future__ import annotations
 
 import functools
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from corpusmill.functions.text import code_tokens
+from corpusmill.operators.graph import dropped_by_earlier, dropped_in_groups
+from corpusmill.sources.scratch import written
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    from corpusmill.sources.scratch import shared_dir
-
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Permutations of a signature. Tokens that are ordered by frequency in prefix filtering, at most.
+PERMUTATIONS, FREQUENT = 128, 20_000
 
 
 def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and its distinct tokens; blank or null text gives null, which is never similar."""
-    tokens = F.when(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), F.array_distinct(code_tokens(F.col(text))))
-    return rows.select(key, tokens.alias("tokens"))
+    """key and the sorted hashes of its distinct tokens; blank or null text gives null, which is never similar."""
+    tokens = F.array_sort(F.array_distinct(F.transform(code_tokens(F.col(text)), lambda t: F.xxhash64(t))))
+    return rows.select(key, F.when(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), tokens).alias("tokens"))
 
 
 def split_copies(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The first row of each class of equal token sets, with its tokens; and the keys of all other members."""
-    live = _written(sets.filter("tokens IS NOT NULL").withColumn("tokens", F.array_sort("tokens")), "dedup-sets")
-    marks = [F.xxhash64("tokens").alias("_x"), F.hash("tokens").alias("_y")]
-    heads = live.groupBy(*marks).agg(F.min(key).alias(key)).select(key)
+    live = written(sets.filter("tokens IS NOT NULL"), "dedup-sets")[0]
+    heads = live.groupBy(F.xxhash64("tokens").alias("_x"), F.hash("tokens").alias("_y")).agg(F.min(key).alias(key)).select(key)
     return live.join(heads, key, "left_semi"), live.join(heads, key, "left_anti").select(key)
 
 
 def exact_pairs(firsts: DataFrame, key: str, percent: int) -> DataFrame:
-    """a, b (a < b): pairs of different sets that reach the similarity, by prefix filtering: two such sets share one of their rarest tokens."""
-    flat = firsts.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    rare = flat.join(flat.groupBy("t").agg(F.count("*").alias("df")), "t")
-    place = F.row_number().over(Window.partitionBy(key).orderBy("df", "t"))
-    prefix = rare.withColumn("i", place).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select(key, "n", "t")
-    x, y = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "t")
+    """a, b (a < b): pairs of different sets that reach the similarity.
+
+    By prefix filtering: in any common order of tokens, two such sets share one of
+    their first; rare tokens come first. A shared token's places bound what two sets
+    can share, so most pairs fall before their sets are compared.
+    """
+    total = firsts.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    often = max(2, total // FREQUENT + 1)  # no more than FREQUENT tokens can be in so many sets
+    counts = firsts.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= often).toPandas().sort_values(["count", "t"])
+    names, ranks = counts["t"].to_numpy(np.int64), np.arange(1, len(counts) + 1)
+    by_name = np.argsort(names)
+    names, ranks = names[by_name], ranks[by_name]
+
+    @F.pandas_udf("array<long>")
+    def prefix(sets: pd.Series) -> pd.Series:
+        out = []
+        for s in sets:
+            s = np.asarray(s, np.int64)
+            at = np.searchsorted(names, s) if len(names) else np.zeros(len(s), np.int64)
+            known = (names[np.minimum(at, len(names) - 1)] == s) if len(names) else np.zeros(len(s), bool)
+            rank = np.where(known, ranks[np.minimum(at, len(names) - 1)], 0) if len(names) else at
+            n = len(s) - -(-len(s) * percent // 100) + 1
+            out.append(s[np.lexsort((s, rank))][: n if len(s) else 0])
+        return pd.Series(out)
+
+    flat = firsts.select(key, F.size("tokens").alias("n"), F.posexplode(prefix("tokens")).alias("i", "t"))
+    x, y = (flat.select(F.col(key).alias(k), F.col("n").alias(f"n{k}"), F.col("i").alias(f"i{k}"), "t") for k in "ab")
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    maybe = x.join(y, "t").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    # The first token that both share: from there on, the smaller rest is all that they can share.
+    reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    maybe = x.join(y, "t").filter((F.col("a") < F.col("b")) & sized).groupBy("a", "b").agg(F.bool_or(reach).alias("reach")).filter("reach").select("a", "b")
     both = maybe.join(firsts.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), "a").join(firsts.select(F.col(key).alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     return both.filter(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
 @functools.cache
-def banding(threshold: float, permutations: int = 128) -> tuple[int, int]:
+def banding(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
     """Bands and rows whose chance to miss above the threshold and to hit below it, summed evenly, is least."""
     s = (np.arange(1000) + 0.5) / 1000
     below = s < threshold
@@ -69,50 +86,67 @@ def banding(threshold: float, permutations: int = 128) -> tuple[int, int]:
     return best[1:]
 
 
-def band_pairs(sets: DataFrame, key: str, bands: int = 9, rows: int = 13) -> DataFrame:
-    """a, b (a < b): pairs that share a MinHash band, unverified; an empty set's band keys are all alike."""
-    rng = np.random.default_rng(7)
-    mult = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
-    fold = rng.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
+def minhash(sets: DataFrame, key: str, permutations: int = PERMUTATIONS) -> DataFrame:
+    """key and signature: for each permutation i, the least (token hash * m_i + c_i) mod 2**64, all but the upper 32 bits cut off.
+
+    An empty set has the greatest value everywhere; null sets are left out.
+    """
+    mult, add = permutation_constants(permutations)
 
     @F.pandas_udf("array<long>")
-    def band_keys(hashes: pd.Series) -> pd.Series:
+    def signature(sets: pd.Series) -> pd.Series:
         out = []
-        for h in hashes:
-            x = np.asarray(h, np.int64).view(np.uint64)
-            v = x[:, None] * mult
-            low = (v ^ v >> np.uint64(31)).min(0) if len(x) else np.zeros(bands * rows, np.uint64)
-            keys = (low.reshape(bands, rows) * fold).sum(1, dtype=np.uint64) ^ np.arange(bands, dtype=np.uint64) << np.uint64(58)
-            out.append(keys.view(np.int64))
+        for s in sets:
+            low = np.full(permutations, 0xFFFFFFFF, np.uint64)
+            x = np.asarray(s, np.int64).view(np.uint64)
+            for at in range(0, len(x), 4096):
+                low = np.minimum(low, ((x[at : at + 4096, None] * mult + add) >> np.uint64(32)).min(0))
+            out.append(low.astype(np.int64))
         return pd.Series(out)
 
-    hashed = sets.filter("tokens IS NOT NULL").select(key, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
-    banded = hashed.select(key, F.explode(band_keys("h")).alias("band"))
-    return banded.select(F.col(key).alias("a"), "band").join(banded.select(F.col(key).alias("b"), "band"), "band").filter("a < b").select("a", "b").distinct()
+    return sets.filter("tokens IS NOT NULL").select(key, signature("tokens").alias("signature"))
+
+
+def permutation_constants(permutations: int = PERMUTATIONS) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(1, 1 << 63, permutations, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, permutations, dtype=np.uint64)
+
+
+def band_groups(sets: DataFrame, key: str, bands: int = 9, rows: int = 13) -> DataFrame:
+    """key and band: a row for each band that the set shares with another."""
+    signed = minhash(sets, key, bands * rows)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, F.lit(rows))))
+    banded = signed.select(key, F.explode(pieces).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    return banded.join(shared, "band")
 
 
 def keep_first(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """key and kept for every node; pairs has a earlier than b."""
-    edges = _written(pairs.select("a", "b").distinct(), "dedup-edges")
-    dropped = None
-    while not edges.isEmpty():
-        heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        out = _written(edges.join(heads, "a", "left_semi").select(F.col("b").alias("k")).distinct(), "dedup-dropped")
-        dropped = out if dropped is None else dropped.unionByName(out)
-        left = edges.join(out.withColumnRenamed("k", "a"), "a", "left_anti").join(out.withColumnRenamed("k", "b"), "b", "left_anti")
-        edges = _written(left, "dedup-edges")
-    if dropped is None:
-        return nodes.select(key, F.lit(True).alias("kept"))
-    marks = dropped.distinct().select(F.col("k").alias(key), F.lit(False).alias("_out"))
+    """key and kept for every node; pairs has a earlier than b, both long."""
+    marks = dropped_by_earlier(pairs).select(F.col("k").alias(key), F.lit(False).alias("_out"))
     return nodes.select(key).join(marks, key, "left").select(key, F.col("_out").isNull().alias("kept"))
 
 
+def _numbered(live: DataFrame, key: str) -> DataFrame:
+    """key and id: whole numbers in the order of the keys."""
+    if isinstance(live.schema[key].dataType, T.LongType | T.IntegerType):
+        return live.select(key, F.col(key).cast("long").alias("id"))
+    # Written, so that all uses see the same numbers.
+    return written(live.select(key).orderBy(key).withColumn("id", F.monotonically_increasing_id()), "dedup-order")[0]
+
+
 def deduplicate(rows: DataFrame, key: str, text: str, percent: int = 80, mode: str = "exact") -> DataFrame:
     """rows that survive, keys giving precedence; mode exact verifies token-set similarity, lsh takes any shared band.
 
     A copy of an earlier set always goes: what would drop the first also drops the copy.
     """
     firsts, copies = split_copies(token_sets(rows, key, text), key)
-    pairs = exact_pairs(firsts, key, percent) if mode == "exact" else band_pairs(firsts, key, *banding(percent / 100))
-    dropped = keep_first(firsts, pairs, key).filter("NOT kept").select(key).unionByName(copies)
+    order = _numbered(firsts, key)
+    firsts = firsts.join(order, key).select("id", "tokens") if "id" != key else firsts
+    if mode == "exact":
+        gone = dropped_by_earlier(exact_pairs(firsts, "id", percent))
+    else:  # all who share a band are held for similar
+        gone = dropped_in_groups(band_groups(firsts, "id", *banding(percent / 100)).select(F.col("id").alias("a"), F.col("band").alias("g")))
+    gone = gone.select(F.col("k").alias("id"))
+    dropped = order.join(gone, "id", "left_semi").select(key).unionByName(copies)
     return rows.join(dropped, key, "left_anti")

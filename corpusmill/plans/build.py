@@ -47,18 +47,18 @@ def discovered(repos: DataFrame, config: Config) -> DataFrame:
 
 def under_cap(rows: DataFrame, counts: DataFrame, count: str, cap: int | None, places: DataFrame) -> DataFrame:
     """rows with each repository's share of the cap, short ones made up from the others' surplus."""
-    rows = rows.join(F.broadcast(places.select(F.col("full_name").alias("repo"), "place")), "repo")
+    rows = rows.join(places.select(F.col("full_name").alias("repo"), "place"), "repo")
     if cap is None:
         return rows
     caps = allocation.stratified_caps(counts.select("repo", F.col(count).alias("cnt")), cap)
     pos = F.row_number().over(Window.partitionBy("repo").orderBy(files.order_key(F.col("file_path")), "position"))
-    placed = rows.withColumn("pos", pos).join(F.broadcast(caps), "repo", "left").withColumn("cap_rows", F.coalesce("cap_rows", F.lit(0)))
+    placed = rows.withColumn("pos", pos).join(caps, "repo", "left").withColumn("cap_rows", F.coalesce("cap_rows", F.lit(0)))
     taken = placed.filter("pos <= cap_rows")
     short = cap - taken.count()
     if short <= 0:
         return taken.drop("pos", "cap_rows", "cnt")
     got = taken.groupBy("repo").agg(F.count("*").alias("got"))
-    spare = placed.filter("pos > cap_rows").join(F.broadcast(got), "repo", "left").withColumn("tier", F.when(F.col("pos") <= allocation.buffered_cap(F.col("cap_rows")), 0).otherwise(1))
+    spare = placed.filter("pos > cap_rows").join(got, "repo", "left").withColumn("tier", F.when(F.col("pos") <= allocation.buffered_cap(F.col("cap_rows")), 0).otherwise(1))
     room = F.when(F.col("tier") == 1, F.col("cnt") - F.coalesce("got", F.lit(0))).otherwise(0)
     more = spare.withColumn("room", room).filter(~((F.col("tier") == 1) & (F.col("cap_rows") > 0) & F.col("got").isNull()))  # those that gave nothing are known to be empty
     extra = allocation.refill(more, taken, short, KEYS, [F.asc("tier"), F.desc("room"), F.asc("place"), F.asc("pos")])
@@ -89,9 +89,10 @@ def run(repos: DataFrame, tree: DataFrame, config: Config, metrics: DataFrame |
             raise ValueError("the engineered filter needs the repositories' metrics")
         passing = quality.apply_filters(metrics.join(places.select("full_name"), "full_name", "left_semi")).filter("passes_all")
         places = _kept(places.join(passing.select("full_name"), "full_name", "left_semi"), "build-engineered")
-    tree = tree.join(F.broadcast(places.select(F.col("full_name").alias("repo"))), "repo", "left_semi")
-    here = tree.select("repo").distinct()
-    failed = sorted(r[0] for r in places.join(here, places["full_name"] == here["repo"], "left_anti").select("full_name").collect())
+    tree = tree.join(places.select(F.col("full_name").alias("repo")), "repo", "left_semi")
+    here = tree.select(F.col("repo").alias("full_name")).distinct()
+    missing = _kept(places.join(here, "full_name", "left_anti").select("full_name"), "build-missing")
+    failed = [r[0] for r in missing.orderBy("full_name").collect()]  # one name a repository, for the summary
     rows = _kept(extraction.definitions(tree, config.language, config.export_ast, config.granularity), "build-rows")
     counts = rows.groupBy("repo").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes"))
     functions = under_cap(extraction.functions(rows), counts, "functions", config.max_functions, places)
@@ -113,7 +114,7 @@ def run(repos: DataFrame, tree: DataFrame, config: Config, metrics: DataFrame |
     tests = testsuite.detect(tree, config.language)
     deps = manifests.dependencies(tree, config.language).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("position", "name", "version", "kind"))).alias("dependencies"))
     skipped = files.skipped_counts(tree, config.language)
-    stats = _kept(repo_stats(places.filter(~F.col("full_name").isin(failed)) if failed else places, parts["functions"], parts["classes"], tests), "build-stats")
+    stats = _kept(repo_stats(places.join(missing, "full_name", "left_anti"), parts["functions"], parts["classes"], tests), "build-stats")
     meta = stats.join(tests.drop("test_suite_present", "confidence"), "repo", "left").join(deps, "repo", "left").join(skipped, "repo", "left").orderBy("place")
     described = [r.asDict(recursive=True) for r in meta.collect()]  # one row a repository
     n_skipped = sum(r["skipped_files"] or 0 for r in described)

@@ -439,6 +439,11 @@ def dedup_lsh(t: _Reader) -> DataFrame:
     return dedup.deduplicate(t("documents").select("doc_id", "text"), "doc_id", "text", 80, "lsh").select("doc_id")
 
 
+@query("minhash_sig")
+def minhash_sig(t: _Reader) -> DataFrame:
+    return dedup.minhash(dedup.token_sets(t("documents"), "doc_id", "text"), "doc_id").select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
 @query("jaccard_pairs", f"WITH s AS (SELECT item_id, list_distinct({_TOKENS}) AS t FROM benchmark), l AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM s), p AS (SELECT a.item_id AS a, b.item_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM l a JOIN l b ON a.w = b.w AND a.item_id < b.item_id GROUP BY 1, 2) SELECT a, b FROM p WHERE 100 * k >= 20 * (na + nb - k)")
 def jaccard_pairs(t: _Reader) -> DataFrame:
     return dedup.exact_pairs(dedup.token_sets(t("benchmark"), "item_id", "text"), "item_id", 20)
