@@ -39,7 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import fresh, materialise, remove, written
+from corpusmill.llm.common import fresh, materialise
+from corpusmill.operators.graph import components
 
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
@@ -49,8 +50,6 @@ LEAST, COVER, COVER_LEADER = 0.6, 0.95, 0.99
 PART = 1024
 #: Members of a block, and shingles of its members together, at most about.
 BLOCK, SHINGLES = 2048, 8_000_000
-#: Links from which a node is joined by broadcast in the component search, at least.
-HUB = 1000
 #: Stand-ins for null ids are above this, so that any usual id comes before them.
 NULLS = 1 << 62
 _CACHE = 200_000
@@ -284,47 +283,6 @@ def bucket_links(banded: DataFrame) -> DataFrame:
     return first.filter("band IS NULL").unionByName(second).select("a", "b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: least reachable node, for every node of links; alternating large-star and small-star steps.
-
-    RuntimeError where that many rounds do not settle it (they need about the
-    logarithm of the longest chain).
-    """
-    spark = links.sparkSession
-    edges, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-links")
-
-    def measured() -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(pairs: DataFrame, large: bool, hub: int) -> DataFrame:
-        """Large: each node's larger neighbours go to its least neighbour; small: its smaller ones and itself do."""
-        around = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select("u", "v")
-        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-        # Twice the links over hub is the most that there can be of these.
-        hubs = F.broadcast(least.filter(F.col("n") >= hub).select("u", "m"))
-        moved = around.join(hubs, "u").unionByName(around.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") < hub).select("u", "m"), "u"))
-        if large:
-            moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            moved = moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return moved.filter("u <> v").distinct()
-
-    before = measured()
-    for _ in range(rounds):
-        hub = max(HUB, before[0] // 10_000)
-        old = path
-        edges, path = written(star(star(edges, True, hub), False, hub), "cc-round")
-        remove(spark, old)
-        now = measured()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components are not settled after {rounds} rounds")
-    rooted = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
-
-
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
