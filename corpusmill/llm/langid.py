@@ -17,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -38,8 +39,7 @@ WORD = 48
 #: Words of evidence after which a text's posterior grows no sharper.
 EVIDENCE = 10
 UNKNOWN = "und"
-#: Letters are Unicode's category L: word characters but for the underscore and numerals of any kind.
-_LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))
+_RUNS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 #: Numbers that a forward pass holds at most; code points of texts that are scored together.
 _CELLS, RUN = 1 << 22, 2_000_000
@@ -59,8 +59,10 @@ def vocabulary_pieces(vocabulary: str = VOCABULARY) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones in parts."""
-    found = _LETTERS.findall(text.lower())
+    """Lower-cased runs of letters (Unicode's category L), long ones in parts."""
+    found = _RUNS.findall(text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):  # some hold numerals that are no decimal digits
+        found = ["".join(run) for w in found for letters, run in itertools.groupby(w, str.isalpha) if letters]
     if found and max(map(len, found)) > WORD:
         found = [w[i : i + WORD] for w in found for i in range(0, len(w), WORD)]
     return found
