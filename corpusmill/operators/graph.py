@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.sources.scratch import remove, written
 
-#: Links from which a node is joined by broadcast in the component search, at least.
-HUB = 1000
 #: Links that one task settles in memory at most.
 SOLVE = 1_000_000
 
@@ -21,8 +19,9 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node, root: least reachable node, for every node of links (a, b long); alternating large-star and small-star steps.
 
     RuntimeError where that many rounds do not settle it (they need about the
-    logarithm of the longest chain). A node of very many links is joined by
-    broadcast; at most 20,000 nodes can have so large a share of the links.
+    logarithm of the longest chain). A node of very many links is met by partial
+    aggregation first, then in a join whose sides are shuffled for it alone, so that
+    Spark can split its share.
     """
     spark = links.sparkSession
     edges, path = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc-links")
@@ -30,13 +29,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     def measured() -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(pairs: DataFrame, large: bool, hub: int) -> DataFrame:
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Large: each node's larger neighbours go to its least neighbour; small: its smaller ones and itself do."""
         around = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs.select("u", "v")
-        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
-        # Twice the links over hub is the most that there can be of these.
-        hubs = F.broadcast(least.filter(F.col("n") >= hub).select("u", "m"))
-        moved = around.join(hubs, "u").unionByName(around.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") < hub).select("u", "m"), "u"))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # By a key of its own: on the aggregate's, Spark would join where it aggregates and could not split a node.
+        moved = around.join(least.select((F.col("u") + 0).alias("w"), "m"), F.col("u") == F.col("w"))
         if large:
             moved = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -45,9 +43,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
 
     before = measured()
     for _ in range(rounds):
-        hub = max(HUB, before[0] // 10_000)
         old = path
-        edges, path = written(star(star(edges, True, hub), False, hub), "cc-round")
+        edges, path = written(star(star(edges, True), False), "cc-round")
         remove(spark, old)
         now = measured()
         if now == before:
