@@ -42,7 +42,7 @@ UNKNOWN = "und"
 _RUNS = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 #: Numbers that a forward pass holds at most; code points of texts that are scored together.
-_CELLS, RUN = 1 << 22, 2_000_000
+_CELLS, RUN = 1 << 21, 1_000_000
 
 
 def vocabulary_pieces(vocabulary: str = VOCABULARY) -> list[str]:

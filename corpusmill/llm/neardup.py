@@ -16,9 +16,6 @@
    met in block pairs. Families whose every pair is near but not near enough
    need all of their pairs.
 
-In the component search a node of very many links is joined by broadcast; at most
-20,000 nodes can have so large a share of the links.
-
 Missing a link at similarity 0.8 needs all BANDS bands to differ (about 5e-8 for
 32 bands of 4) or a sketch estimate under LEAST, far from 0.8.
 

@@ -23,7 +23,7 @@ END_ID = 1
 #: ASCII but for letters and white space: what may follow the letters of a piece.
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha())
 #: Bytes of text that are encoded together, words that are gathered together.
-RUN, GATHER = 16 << 20, 1 << 20
+RUN, GATHER = 4 << 20, 1 << 19
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -48,7 +48,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class WordCache:
     """Encodes texts; holds the ids of about ``limit`` words, of ``room`` bytes together."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 1_000_000, room: int = 32 << 20):
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 500_000, room: int = 16 << 20):
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
@@ -147,6 +147,7 @@ class WordCache:
             to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + RUN, side="right")))
             yield self._run(texts.slice(at, to - at), end)
             at = to
+        pa.default_memory_pool().release_unused()  # workers live on beside those of other stages
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, without an end id."""

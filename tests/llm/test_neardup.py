@@ -1,10 +1,9 @@
-"""Null ids, hubs, long chains and many blocks against brute force."""
+"""Null ids, parts, long chains and many blocks against brute force."""
 
 import numpy as np
 import pytest
 
 from corpusmill.llm import neardup
-from corpusmill.operators import graph
 from tests.llm.test_operators import BASE, brute_components
 
 SCHEMA = "doc_id long, text string, id int, root string, family int, n int, component_id string"
@@ -27,12 +26,11 @@ def near_texts(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("block", "shingles", "hub", "part"), [(2048, 8_000_000, 1000, 1024), (7, 8_000_000, 2, 3), (2048, 700, 3, 1)])
-def test_null_ids_blocks_and_hubs(spark, monkeypatch, block, shingles, hub, part):
+@pytest.mark.parametrize(("block", "shingles", "part"), [(2048, 8_000_000, 1024), (7, 8_000_000, 3), (2048, 700, 1)])
+def test_null_ids_blocks_and_parts(spark, monkeypatch, block, shingles, part):
     monkeypatch.setattr(neardup, "PART", part)
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "SHINGLES", shingles)
-    monkeypatch.setattr(graph, "HUB", hub)
     texts = near_texts(60, 3) + [None, "", " \n", BASE, BASE, BASE + "x", "just three words", "JUST three\twords"] + near_texts(12, 4)
     texts += texts[:6]
     ids = [None if i % 5 == 0 else 1000 - i for i in range(len(texts))]
@@ -58,9 +56,7 @@ def test_null_ids_blocks_and_hubs(spark, monkeypatch, block, shingles, hub, part
             assert r["kept"] == (r["component_id"] is None) or r["kept"] is False
 
 
-@pytest.mark.parametrize("hub", [1000, 3])
-def test_components_of_a_chain_a_star_and_a_cloud(spark, monkeypatch, hub):
-    monkeypatch.setattr(graph, "HUB", hub)
+def test_components_of_a_chain_a_star_and_a_cloud(spark):
     rng = np.random.default_rng(6)
     chain = rng.permutation(1000)
     links = [(int(a), int(b)) for a, b in zip(chain, chain[1:])]
