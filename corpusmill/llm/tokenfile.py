@@ -44,6 +44,8 @@ from corpusmill.llm.tokens import END_ID, VOCABULARY, word_cache
 BLOCK = 2048
 #: Ids after which a segment ends, at a document's end.
 SEGMENT = 12_000_000
+#: Bytes of text that are tokenized together.
+TOKENIZED = 12 << 20
 MAGIC = b"CMX2"
 _HEAD = "<IQIII"
 _HASH = 10  # bits of a context table's address
@@ -273,7 +275,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, segment:
 
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
-            for ids, cuts in cache.encode_all(batch.column(1), END_ID):
+            for ids, cuts in cache.encode_all(batch.column(1), END_ID, TOKENIZED):
                 names += doc_ids[at : at + len(cuts) - 1]
                 at += len(cuts) - 1
                 lengths.append(np.diff(cuts))

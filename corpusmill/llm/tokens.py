@@ -48,7 +48,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class WordCache:
     """Encodes texts; holds the ids of about ``limit`` words, of ``room`` bytes together."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 500_000, room: int = 16 << 20):
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 1_000_000, room: int = 32 << 20):
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
@@ -135,16 +135,16 @@ class WordCache:
         out = [ids[_spread(start[words[k : k + GATHER]], sizes[k : k + GATHER])] for k in range(0, len(words), GATHER)]
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])[cuts]
 
-    def encode_all(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def encode_all(self, texts: pa.Array, end: int | None = None, run: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of the texts in order: their ids (unsigned 32-bit), and where each text's begin and the last one's end.
 
-        end: an id that follows each text's.
+        end: an id that follows each text's; run: bytes that are encoded together, where not RUN.
         """
         texts = pc.fill_null(texts.cast(pa.string()), "")
         cuts = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + RUN, side="right")))
+            to = max(at + 1, int(np.searchsorted(cuts, (cuts[at - 1] if at else 0) + (run or RUN), side="right")))
             yield self._run(texts.slice(at, to - at), end)
             at = to
         pa.default_memory_pool().release_unused()  # workers live on beside those of other stages
