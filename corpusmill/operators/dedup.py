@@ -31,7 +31,7 @@ def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 def split_copies(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The first row of each class of equal token sets, with its tokens; and the keys of all other members."""
-    live = written(sets.filter("tokens IS NOT NULL"), "dedup-sets")[0]
+    live = written(sets, "dedup-sets")[0].filter("tokens IS NOT NULL")  # filtered once written: before, texts would be tokenized for the filter too
     heads = live.groupBy(F.xxhash64("tokens").alias("_x"), F.hash("tokens").alias("_y")).agg(F.min(key).alias(key)).select(key)
     return live.join(heads, key, "left_semi"), live.join(heads, key, "left_anti").select(key)
 
@@ -62,7 +62,7 @@ def exact_pairs(firsts: DataFrame, key: str, percent: int) -> DataFrame:
             out.append(s[np.lexsort((s, rank))][: n if len(s) else 0])
         return pd.Series(out)
 
-    flat = firsts.select(key, F.size("tokens").alias("n"), F.posexplode(prefix("tokens")).alias("i", "t"))
+    flat = written(firsts.select(key, F.size("tokens").alias("n"), F.posexplode(prefix("tokens")).alias("i", "t")), "dedup-prefixes")[0]
     x, y = (flat.select(F.col(key).alias(k), F.col("n").alias(f"n{k}"), F.col("i").alias(f"i{k}"), "t") for k in "ab")
     sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     # The first token that both share: from there on, the smaller rest is all that they can share.
@@ -142,7 +142,7 @@ def deduplicate(rows: DataFrame, key: str, text: str, percent: int = 80, mode: s
     """
     firsts, copies = split_copies(token_sets(rows, key, text), key)
     order = _numbered(firsts, key)
-    firsts = firsts.join(order, key).select("id", "tokens") if "id" != key else firsts
+    firsts = written(firsts.join(order, key).select("id", "tokens") if "id" != key else firsts, "dedup-firsts")[0]
     if mode == "exact":
         gone = dropped_by_earlier(exact_pairs(firsts, "id", percent))
     else:  # all who share a band are held for similar
