@@ -294,6 +294,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
             out[names[0]] = pa.array([x[0] for x in found], pa.string())
             out[names[1]] = pa.array([x[1] for x in found], pa.float64())
             yield pa.RecordBatch.from_pydict(out)
+            pa.default_memory_pool().release_unused()  # the worker lives on beside those of other stages
 
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)

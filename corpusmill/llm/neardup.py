@@ -211,6 +211,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 else:
                     rows.append((doc_id, 0, b"e%d" % doc_id, None, None))  # a key of its own, so that wordless rows do not meet in one task
             yield _arrow_rows(names, types, rows)
+            pa.default_memory_pool().release_unused()  # the worker lives on beside those of other stages
 
     return docs.select(named(docs), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
 

@@ -44,8 +44,8 @@ from corpusmill.llm.tokens import END_ID, VOCABULARY, word_cache
 BLOCK = 2048
 #: Ids after which a segment ends, at a document's end.
 SEGMENT = 12_000_000
-#: Bytes of text that are tokenized together.
-TOKENIZED = 12 << 20
+#: Bytes of text that are tokenized together, words that a worker holds.
+TOKENIZED, WORDS = 12 << 20, 1_000_000
 MAGIC = b"CMX2"
 _HEAD = "<IQIII"
 _HASH = 10  # bits of a context table's address
@@ -263,7 +263,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, segment:
     """Tokenize whole documents and write their ids, an end id after each, in ascending doc_id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, k = word_cache(vocabulary), TaskContext.get().partitionId(), 0
+        cache, shard, k = word_cache(vocabulary, WORDS), TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []

@@ -48,7 +48,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class WordCache:
     """Encodes texts; holds the ids of about ``limit`` words, of ``room`` bytes together."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 1_000_000, room: int = 32 << 20):
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 300_000, room: int = 32 << 20):
         from tokenizers import Tokenizer
 
         if "/" not in vocabulary:
@@ -155,6 +155,6 @@ class WordCache:
 
 
 @functools.cache
-def word_cache(vocabulary: str = VOCABULARY) -> WordCache:
+def word_cache(vocabulary: str = VOCABULARY, limit: int = 300_000) -> WordCache:
     """The worker's own cache; it lives as long as the worker, over tasks."""
-    return WordCache(vocabulary)
+    return WordCache(vocabulary, limit)
