@@ -17,10 +17,11 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import code_tokens
 from corpusmill.operators.graph import dropped_by_earlier, dropped_in_groups
-from corpusmill.sources.scratch import written
+from corpusmill.operators.setjoin import candidates
+from corpusmill.sources.scratch import remove, written
 
-#: Permutations of a signature. Tokens that are ordered by frequency in prefix filtering, at most.
-PERMUTATIONS, FREQUENT = 128, 20_000
+#: Permutations of a signature. Keys that a join sends to all executors at most.
+PERMUTATIONS, SENT = 128, 500_000
 
 
 def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,48 +30,61 @@ def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.when(F.col(text).rlike(r"[^ \t\n\x0B\f\r]"), tokens).alias("tokens"))
 
 
+def _live(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """rows semi- or anti-joined with keys; as many keys as are safe to send are sent, so that wide rows stay where they are."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT else keys, key, how)
+
+
 def split_copies(sets: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The first row of each class of equal token sets, with its tokens; and the keys of all other members."""
-    live = written(sets, "dedup-sets")[0].filter("tokens IS NOT NULL")  # filtered once written: before, texts would be tokenized for the filter too
-    heads = live.groupBy(F.xxhash64("tokens").alias("_x"), F.hash("tokens").alias("_y")).agg(F.min(key).alias(key)).select(key)
-    return live.join(heads, key, "left_semi"), live.join(heads, key, "left_anti").select(key)
+    live = written(sets.withColumns({"_x": F.xxhash64("tokens"), "_y": F.hash("tokens")}), "dedup-sets")[0].filter("tokens IS NOT NULL")  # filtered once written: before, texts would be tokenized for the filter too
+    heads = live.groupBy("_x", "_y").agg(F.min(key).alias(key)).select(key)
+    copies = written(live.select(key).join(heads, key, "left_anti"), "dedup-copies")[0]
+    return _live(live.select(key, "tokens"), copies, key, "left_anti"), copies
+
+
+def verified(pairs: DataFrame, sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col(key).alias("b"), F.col("tokens").alias("tb")), "b")
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return both.filter(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
 
 
 def exact_pairs(firsts: DataFrame, key: str, percent: int) -> DataFrame:
-    """a, b (a < b): pairs of different sets that reach the similarity.
+    """a, b (a < b): pairs of different sets that reach the similarity."""
+    kind = firsts.schema[key].dataType
+    maybe = candidates(firsts, key, percent).select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    return verified(maybe, firsts, key, percent)
 
-    By prefix filtering: in any common order of tokens, two such sets share one of
-    their first; rare tokens come first. A shared token's places bound what two sets
-    can share, so most pairs fall before their sets are compared.
-    """
-    total = firsts.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
-    often = max(2, total // FREQUENT + 1)  # no more than FREQUENT tokens can be in so many sets
-    counts = firsts.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= often).toPandas().sort_values(["count", "t"])
-    names, ranks = counts["t"].to_numpy(np.int64), np.arange(1, len(counts) + 1)
-    by_name = np.argsort(names)
-    names, ranks = names[by_name], ranks[by_name]
 
-    @F.pandas_udf("array<long>")
-    def prefix(sets: pd.Series) -> pd.Series:
-        out = []
-        for s in sets:
-            s = np.asarray(s, np.int64)
-            at = np.searchsorted(names, s) if len(names) else np.zeros(len(s), np.int64)
-            known = (names[np.minimum(at, len(names) - 1)] == s) if len(names) else np.zeros(len(s), bool)
-            rank = np.where(known, ranks[np.minimum(at, len(names) - 1)], 0) if len(names) else at
-            n = len(s) - -(-len(s) * percent // 100) + 1
-            out.append(s[np.lexsort((s, rank))][: n if len(s) else 0])
-        return pd.Series(out)
+def dropped_near(firsts: DataFrame, key: str, percent: int) -> DataFrame:
+    """k: the sets that the sequential loop drops; key is long.
 
-    flat = written(firsts.select(key, F.size("tokens").alias("n"), F.posexplode(prefix("tokens")).alias("i", "t")), "dedup-prefixes")[0]
-    x, y = (flat.select(F.col(key).alias(k), F.col("n").alias(f"n{k}"), F.col("i").alias(f"i{k}"), "t") for k in "ab")
-    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    # The first token that both share: from there on, the smaller rest is all that they can share.
-    reach = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    maybe = x.join(y, "t").filter((F.col("a") < F.col("b")) & sized).groupBy("a", "b").agg(F.bool_or(reach).alias("reach")).filter("reach").select("a", "b")
-    both = maybe.join(firsts.select(F.col(key).alias("a"), F.col("tokens").alias("ta")), "a").join(firsts.select(F.col(key).alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b")
+    Sets are compared for as many pairs as there are sets in them, about. While there
+    are more, a set without an earlier candidate is kept for sure, and each set that is
+    found near one goes with all of its pairs: a large group of near copies takes a comparison each.
+    """
+    spark = firsts.sparkSession
+    pairs, path = written(candidates(firsts, key, percent), "dedup-pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "dedup-nodes")[0]
+    near, n, few = written(_live(firsts, nodes, key, "left_semi"), "dedup-near")[0], pairs.count(), nodes.count()
+    found = []
+    while n > few:
+        heads = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        stars = written(pairs.join(heads, "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")), "dedup-stars")[0]
+        out = written(verified(stars, near, key, percent).select(F.col("b").alias("k")), "dedup-out")[0]
+        found.append(out)
+        rest = pairs.join(stars, ["a", "b"], "left_anti").join(out.withColumnRenamed("k", "a"), "a", "left_anti").join(out.withColumnRenamed("k", "b"), "b", "left_anti")
+        old, before = path, n
+        pairs, path = written(rest.select("a", "b"), "dedup-pairs")
+        remove(spark, old)
+        n = pairs.count()
+        if n > 0.9 * before:  # rounds no longer pay
+            break
+    every = dropped_by_earlier(verified(pairs, near, key, percent))
+    for more in found:
+        every = every.unionByName(more)
+    return every
 
 
 @functools.cache
@@ -142,9 +156,12 @@ def deduplicate(rows: DataFrame, key: str, text: str, percent: int = 80, mode: s
     """
     firsts, copies = split_copies(token_sets(rows, key, text), key)
     order = _numbered(firsts, key)
-    firsts = written(firsts.join(order, key).select("id", "tokens") if "id" != key else firsts, "dedup-firsts")[0]
+    if isinstance(rows.schema[key].dataType, T.LongType | T.IntegerType):
+        firsts = firsts.select(F.col(key).cast("long").alias("id"), "tokens")
+    else:
+        firsts = written(firsts.join(order, key).select("id", "tokens"), "dedup-firsts")[0]
     if mode == "exact":
-        gone = dropped_by_earlier(exact_pairs(firsts, "id", percent))
+        gone = dropped_near(firsts, "id", percent)
     else:  # all who share a band are held for similar
         gone = dropped_in_groups(band_groups(firsts, "id", *banding(percent / 100)).select(F.col("id").alias("a"), F.col("band").alias("g")))
     gone = gone.select(F.col("k").alias("id"))
