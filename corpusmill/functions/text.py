@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,13 +42,23 @@ def minified(text: Column, longest: int = 1000, mean: int = 300) -> Column:
     return (F.array_max(sizes) > longest) | (total > mean * F.size(sizes))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once: Spark works out again for each element what a lambda takes from outside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_indentation(snippet: Column) -> Column:
     """Cut all lines but the first by the least body indent less four, if that indent is over four."""
-    rows = lines(snippet)
-    body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: ~blank(x))
-    indent = F.array_min(F.transform(body, lambda x: F.length(F.regexp_extract(x, r"^[ \t\x0B\f\r]*", 0))))
-    cut = F.coalesce(F.when(indent > 4, indent - 4), F.lit(0))
-    return F.concat_ws("\n", F.transform(rows, lambda x, i: F.when((i == 0) | (F.length(x) < cut), x).otherwise(F.substr(x, cut + 1))))
+
+    def cut_of(rows: Column) -> Column:
+        body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: ~blank(x))
+        indent = F.array_min(F.transform(body, lambda x: F.length(F.regexp_extract(x, r"^[ \t\x0B\f\r]*", 0))))
+        return F.coalesce(F.when(indent > 4, indent - 4), F.lit(0))
+
+    def joined(rows: Column, cut: Column) -> Column:
+        return F.concat_ws("\n", F.transform(rows, lambda x, i: F.when((i == 0) | (F.length(x) < cut), x).otherwise(F.substr(x, cut + 1))))
+
+    return _bound(lines(snippet), lambda rows: _bound(cut_of(rows), lambda cut: joined(rows, cut)))
 
 
 def strip_comments_and_strings(text: Column) -> Column:
@@ -70,10 +82,11 @@ def strip_python_literal(raw: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """The longest fenced body, the first of equals; else the trimmed text."""
-    bodies = F.regexp_extract_all(text, F.lit(r"```[a-zA-Z+#]*\n([\s\S]*?)```"), F.lit(1))
-    best = F.element_at(F.filter(bodies, lambda b: F.length(b) == F.array_max(F.transform(bodies, F.length))), 1)
     trim = lambda c: F.regexp_replace(c, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
-    return F.when(F.size(bodies) > 0, trim(best)).otherwise(trim(text))
+    first = lambda bodies, most: F.element_at(F.filter(bodies, lambda b: F.length(b) == most), 1)
+    longest = lambda bodies: F.when(F.size(bodies) > 0, _bound(F.array_max(F.transform(bodies, F.length)), lambda most: first(bodies, most)))
+    bodies = F.regexp_extract_all(text, F.lit(r"```[a-zA-Z+#]*\n([\s\S]*?)```"), F.lit(1))
+    return trim(F.coalesce(_bound(bodies, longest), text))
 
 
 def slug(name: Column) -> Column:

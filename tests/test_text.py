@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,3 +33,21 @@ def test_used_imports(spark):
     df = spark.createDataFrame([(1, "os.path # re"), (2, "x.os 're'"), (3, None)], "k int, code string")
     got = {r["k"]: r["u"] for r in df.select("k", text.used_imports(rows, F.col("code")).alias("u")).collect()}
     assert got[1] == ["import os", "from a import *"] and got[2] == ["from a import *"] and got[3] in (["from a import *"], None)
+
+
+def test_long_texts_take_time_in_proportion_to_their_lines(spark):
+    """What holds for all lines or bodies is worked out once, not for each of them."""
+    rows = 20_000
+    code = "def f():" + "\n      a" * rows
+    fenced = "```\nx\n```\n" * rows + "```py\nlonger\n```"
+    df = spark.createDataFrame([(code, fenced)], "code string, fenced string")
+    began = time.time()
+    r = df.select(text.clean_indentation(F.col("code")).alias("c"), text.strip_fences(F.col("fenced")).alias("f")).first()
+    assert r["c"] == "def f():" + "\n    a" * rows and r["f"] == "longer"
+    assert time.time() - began < 30
+
+
+def test_odd_snippets(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\n  \n"), (4, "a\n      b\n     \n c"), (5, "```\n```"), (6, "```\nab\n``` ```\ncd\n```")], "k int, t string").coalesce(1)
+    got = {r["k"]: (r["c"], r["f"]) for r in df.select("k", text.clean_indentation(F.col("t")).alias("c"), text.strip_fences(F.col("t")).alias("f")).collect()}
+    assert got == {1: ("", None), 2: ("", ""), 3: ("a\n\n  \n", "a"), 4: ("a\n      b\n     \n c", "a\n      b\n     \n c"), 5: ("```\n```", ""), 6: ("```\nab\n``` ```\ncd\n```", "ab")}
