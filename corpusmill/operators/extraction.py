@@ -21,12 +21,37 @@ FUNCTION = "parameters array<string>, return_annotation string, signature string
 CLASS = "parent_classes array<string>, skeleton string, method_names array<string>, method_count int, has_constructor boolean"
 TREE = "ast_depth int, ast_num_nodes int, ast_node_types map<string,int>, ast string"
 RECORD = f"repo string, file_path string, language string, kind string, position int, name string, {SHARED}, {FUNCTION}, {CLASS}, {TREE}, {METRICS}, error string"
+#: Rows, and signs of the files they come from, that a walk holds before it hands them on.
+ROWS, SIGNS = 500, 1_000_000
 
 
 def _names(ddl: str) -> list[str]:
     return [part.split(" ")[0] for part in ddl.split(", ")]
 
 
+def walked(batches: Iterator[pd.DataFrame], language: str, include_ast: bool, kinds: set[str]) -> Iterator[pd.DataFrame]:
+    """Rows of RECORD, in pieces whose size does not follow the batch's: they are many times its files."""
+    from corpusmill.functions.records import extract
+
+    names = _names(RECORD)
+    table = lambda rows: pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+    for batch in batches:
+        rows, signs = [], 0
+        for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]):
+            if len(rows) >= ROWS or signs >= SIGNS:
+                yield table(rows)
+                rows, signs = [], 0
+            signs += len(text)
+            base = {"repo": repo, "file_path": path, "language": language}
+            try:
+                found = extract(text, language, include_ast)
+            except Exception as e:  # one bad file costs only its own rows
+                rows.append(base | {"error": f"{type(e).__name__}: {e}"[:500]})
+                continue
+            rows += [base | {"position": i} | r for i, r in enumerate(found) if r["kind"] in kinds]
+        yield table(rows)
+
+
 def definitions(tree: DataFrame, language: str, include_ast: bool = False, granularities: Sequence[str] = ("function", "class")) -> DataFrame:
     """A row for each function and class of the eligible files; position is its place in the file.
 
@@ -34,25 +59,9 @@ def definitions(tree: DataFrame, language: str, include_ast: bool = False, granu
     """
     if language not in files.EXTENSIONS:
         raise ValueError(f"Unsupported language: {language}")
-    kinds, names = set(granularities), _names(RECORD)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from corpusmill.functions.records import extract
-
-        for batch in batches:
-            rows = []
-            for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]):
-                base = {"repo": repo, "file_path": path, "language": language}
-                try:
-                    found = extract(text, language, include_ast)
-                except Exception as e:  # one bad file costs only its own rows
-                    rows.append(base | {"error": f"{type(e).__name__}: {e}"[:500]})
-                    continue
-                rows += [base | {"position": i} | r for i, r in enumerate(found) if r["kind"] in kinds]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
-
+    kinds = set(granularities)
     source = tree.filter(files.eligible(F.col("path"), language)).select("repo", "path", files.decoded(F.col("content")).alias("text")).filter("text IS NOT NULL")
-    return source.mapInPandas(run, RECORD)
+    return source.mapInPandas(lambda batches: walked(batches, language, include_ast, kinds), RECORD)
 
 
 def functions(rows: DataFrame) -> DataFrame:

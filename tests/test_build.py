@@ -3,6 +3,7 @@
 import json
 from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,13 @@ def test_paged_stream(spark, tmp_path):
     drain()
     names = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).select("full_name").collect()]
     assert len(names) == 9 and len(set(names)) == 9
+
+
+@pytest.mark.parametrize("language, code", [("C++", "int f(int a) { return a; }\n"), ("JavaScript", "function f(a) { return a; }\n")])
+def test_walks_hand_rows_on_in_small_pieces(language, code):
+    batch = pd.DataFrame({"repo": "r", "path": [f"n{i}" for i in range(1200)], "text": code})
+    pieces = list(extraction.walked(iter([batch]), language, False, {"function"}))
+    assert [len(p) for p in pieces] == [500, 500, 200]
+    assert pd.concat(pieces)["file_path"].tolist() == batch["path"].tolist()
+    long = pd.DataFrame({"repo": "r", "path": ["a", "b", "c"], "text": code + ("// " + "x" * 77 + "\n") * 12_500})
+    assert [len(p) for p in extraction.walked(iter([long]), language, False, {"function"})] == [1, 1, 1]
