@@ -30,7 +30,10 @@ def _names(ddl: str) -> list[str]:
 
 
 def walked(batches: Iterator[pd.DataFrame], language: str, include_ast: bool, kinds: set[str]) -> Iterator[pd.DataFrame]:
-    """Rows of RECORD, in pieces whose size does not follow the batch's: they are many times its files."""
+    """Rows of RECORD, in pieces whose size follows neither the batch's nor a file's: they are many times the files.
+
+    text may be UTF-8 bytes: a string can take four times their room, and so only one file is decoded at a time.
+    """
     from corpusmill.functions.records import extract
 
     names = _names(RECORD)
@@ -38,18 +41,20 @@ def walked(batches: Iterator[pd.DataFrame], language: str, include_ast: bool, ki
     for batch in batches:
         rows, signs = [], 0
         for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]):
-            if len(rows) >= ROWS or signs >= SIGNS:
-                yield table(rows)
-                rows, signs = [], 0
+            text = text if isinstance(text, str) else str(text, "utf-8")
             signs += len(text)
             base = {"repo": repo, "file_path": path, "language": language}
             try:
-                found = extract(text, language, include_ast)
+                rows += [base | {"position": i} | r for i, r in enumerate(extract(text, language, include_ast)) if r["kind"] in kinds]
             except Exception as e:  # one bad file costs only its own rows
                 rows.append(base | {"error": f"{type(e).__name__}: {e}"[:500]})
-                continue
-            rows += [base | {"position": i} | r for i, r in enumerate(found) if r["kind"] in kinds]
-        yield table(rows)
+            full = signs >= SIGNS
+            while rows and (full or len(rows) >= ROWS):
+                yield table(rows[:ROWS])
+                del rows[:ROWS]
+            signs = signs if rows else 0
+        if rows:
+            yield table(rows)
 
 
 def definitions(tree: DataFrame, language: str, include_ast: bool = False, granularities: Sequence[str] = ("function", "class")) -> DataFrame:
@@ -60,7 +65,7 @@ def definitions(tree: DataFrame, language: str, include_ast: bool = False, granu
     if language not in files.EXTENSIONS:
         raise ValueError(f"Unsupported language: {language}")
     kinds = set(granularities)
-    source = tree.filter(files.eligible(F.col("path"), language)).select("repo", "path", files.decoded(F.col("content")).alias("text")).filter("text IS NOT NULL")
+    source = tree.filter(files.eligible(F.col("path"), language)).select("repo", "path", files.decoded(F.col("content")).cast("binary").alias("text")).filter("text IS NOT NULL")
     return source.mapInPandas(lambda batches: walked(batches, language, include_ast, kinds), RECORD)
 
 

@@ -250,3 +250,23 @@ def test_walks_hand_rows_on_in_small_pieces(language, code):
     assert pd.concat(pieces)["file_path"].tolist() == batch["path"].tolist()
     long = pd.DataFrame({"repo": "r", "path": ["a", "b", "c"], "text": code + ("// " + "x" * 77 + "\n") * 12_500})
     assert [len(p) for p in extraction.walked(iter([long]), language, False, {"function"})] == [1, 1, 1]
+
+
+def test_walk_hands_on_one_files_rows_in_small_pieces_and_reads_bytes():
+    code = "".join(f"function f{i}(a) {{ return '\u00e9\U0001f600'; }}\n" for i in range(1200))
+    batch = pd.DataFrame({"repo": "r", "path": ["a.js", "b.js", "c.js"], "text": [code, "// nothing\n", "function g() { }\n"]})
+    pieces = list(extraction.walked(iter([batch]), "JavaScript", False, {"function"}))
+    assert [len(p) for p in pieces] == [500, 500, 201]
+    rows = pd.concat(pieces, ignore_index=True)
+    assert rows["name"].tolist() == [f"f{i}" for i in range(1200)] + ["g"] and rows["position"].tolist() == [*range(1200), 0]
+    as_bytes = batch.assign(text=[x.encode() for x in batch["text"]])
+    pd.testing.assert_frame_equal(pd.concat(extraction.walked(iter([as_bytes]), "JavaScript", False, {"function"}), ignore_index=True), rows)
+    assert list(extraction.walked(iter([batch[1:2]]), "JavaScript", False, {"function"})) == []
+
+
+def test_walk_of_texts_of_all_widths(spark):
+    texts = {"plain.js": b"function f(a) { return 'x'; }", "wide.js": "function f(a) { return '\u00e9 \u4e2d \U0001f600'; }".encode(), "broken.js": b"function f(a) { return '\xff\xed\xa0\x80'; }", "empty.js": b""}
+    tree = spark.createDataFrame([("r", k, bytearray(v)) for k, v in texts.items()] + [("r", "null.js", None)], "repo string, path string, content binary")
+    got = {r.file_path: (r.source_code, r.error) for r in extraction.definitions(tree, "JavaScript").collect()}
+    assert got == {k: (v.decode("utf-8", "replace"), None) for k, v in texts.items() if v}
+    assert extraction.definitions(tree.filter("path = 'empty.js'"), "JavaScript").count() == 0
